@@ -71,10 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = reread.select(F.col("id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("prefix").alias("_p"), F.col("digest").alias("_d")).distinct()
         at = rows["id"].eqNullSafe(full["_id"]) & (rows["n_bytes"] == full["_n"]) & (rows["prefix"] == full["_p"])
         rows = rows.drop("digest").join(full, at, "left").withColumnRenamed("_d", "digest")
-    rows = rows.withColumn("group_key", F.when(F.col("round_2"), F.col("digest")))
+    # Rows that dropped out get a key of their own, so that they don't meet in one task as nulls would.
+    alone = F.concat(F.lit("row "), F.hex(F.xxhash64("id")))
+    rows = rows.withColumn("group_key", F.when(F.col("round_2"), F.col("digest")).otherwise(alone))
     # Partial aggregates: a group of any size reaches its reducer as a row per task.
     groups = (
-        rows.filter("group_key IS NOT NULL")
+        rows.filter("round_2")
         .groupBy("group_key")
         .agg(F.count("*").alias("n"), F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("i"))).alias("best"))
         .filter("n > 1")
