@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,10 @@ MIN_ITEM_WORDS = 5
 
 # Which bytes belong to words: all but white space and ASCII punctuation.
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, its row): ASCII letters lower-cased, ASCII punctuation
+    """(hash of each word, its row) of lower-cased texts, with ASCII punctuation
     and white space between words."""
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -39,12 +39,11 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & (~before | edge))
     edge[off[1:]] = True
     ends = np.flatnonzero(before & (~inside | edge))
-    return hash_words(_LOWER[raw], starts, ends), np.searchsorted(off, starts, side="right") - 1
+    return hash_words(raw, starts, ends), np.searchsorted(off, starts, side="right") - 1
 
 
 def _hash_text(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    return words_of(raw, np.array([0, len(raw)], np.int64))[0]
+    return words_of(*text_buffers(pc.utf8_lower(pa.array([text], pa.string()))))[0]
 
 
 def question_and_answer(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +232,7 @@ def find_leaks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in chunks(batch.columns, 1, CHUNK_BYTES):
-                words, doc = words_of(*text_buffers(texts))
+                words, doc = words_of(*text_buffers(pc.utf8_lower(texts)))
                 rows = []
                 for slab in slabs:
                     index = slab.value
