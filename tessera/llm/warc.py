@@ -41,8 +41,12 @@ def train_dictionary(pages: DataFrame, id_col: str, payload_col: str) -> bytes:
     SAMPLE_BYTES of each, of the rows with the smallest hashed ids; empty if
     there is too little to train on.  (It affects size only, never content.)"""
     pick = pages.select(F.xxhash64(id_col).alias("h"), F.substring(F.encode(F.col(payload_col), "UTF-8"), 1, SAMPLE_BYTES).alias("p"))
-    rows = pick.filter("p IS NOT NULL").orderBy("h", "p").limit(DICTIONARY_SAMPLES).collect()
-    samples = [bytes(r.p) for r in rows if len(r.p) >= 16]
+    # Hashes alone are ranked, so that a task sends the driver a few KB; then the payloads up to the last rank.
+    ranks = [r.h for r in pages.select(F.xxhash64(id_col).alias("h")).orderBy("h").limit(DICTIONARY_SAMPLES).collect()]
+    if not ranks:
+        return b""
+    rows = pick.filter((F.col("h") <= ranks[-1]) & F.col("p").isNotNull()).limit(2 * DICTIONARY_SAMPLES).collect()
+    samples = [bytes(r.p) for r in sorted(rows, key=lambda r: (r.h, r.p)) if len(r.p) >= 16]
     if len(samples) < 16:
         return b""
     try:
