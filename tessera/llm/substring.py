@@ -20,7 +20,7 @@ from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix6
 from tessera.llm.repeats import counted, covered, keyed, ranges_of, repeated_spans, with_spans
 
 WINDOW = 35
-ROUNDS = 4
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -97,7 +97,9 @@ def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list
 def window_anchors(levels: list[Level], n_windows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, level, first word) of the symbol that each window [i, i+size)
     carries: of the symbols of the highest level that are decided inside the
-    window, the one of least name, the leftmost if equal."""
+    window, the longest, among equally long ones that of least name, the
+    leftmost if equal.  (Long symbols are rare by chance, so few windows that
+    aren't repeats share one.)"""
     name, depth, place = np.zeros(n_windows, np.uint64), np.full(n_windows, -1), np.zeros(n_windows, np.int64)
     left = np.arange(n_windows)
     for d in range(len(levels) - 1, -1, -1):
@@ -109,6 +111,8 @@ def window_anchors(levels: list[Level], n_windows: int, size: int) -> tuple[np.n
         has = b > a
         where, a, b = left[has], a[has], b[has]
         if len(where):
+            size_ = np.minimum(level.end - level.start, 31).astype(np.uint64)
+            score = ((_U(31) - size_) << _U(59)) | (level.name >> _U(5))
             span = np.frexp((b - a).astype(float))[1] - 1  # floor(log2)
             best = np.arange(len(level.name))
             out = np.empty(len(where), np.int64)
@@ -116,10 +120,10 @@ def window_anchors(levels: list[Level], n_windows: int, size: int) -> tuple[np.n
                 if k:
                     half = 1 << (k - 1)
                     x, y = best[:-half], best[half:]
-                    best = np.where(level.name[y] < level.name[x], y, x)
+                    best = np.where(score[y] < score[x], y, x)
                 now = span == k
                 x, y = best[a[now]], best[b[now] - (1 << k)]
-                out[now] = np.where(level.name[y] < level.name[x], y, x)
+                out[now] = np.where(score[y] < score[x], y, x)
             name[where], depth[where], place[where] = level.name[out], d, level.start[out]
         left = left[~has]
     return name, depth, place
@@ -147,7 +151,8 @@ def _anchors(size: int):
                     continue
                 key = mix64(name[at] + mix64(depth[at].astype(np.uint64)))
                 # The range as a whole: all its words, and where the anchor lies in it.
-                total = np.concatenate([[0], np.cumsum(words * _powers(len(words)))]).astype(np.uint64)
+                total = np.zeros(len(words) + 1, np.uint64)
+                np.cumsum(words * _powers(len(words)), out=total[1:])
                 whole = (total[at + n + size - 1] - total[at]) * _inverse_powers(len(words))[at]
                 mark = mix64(whole + mix64(n.astype(np.uint64) * _U(3) + (place[at] - at).astype(np.uint64) * _U(0x10001)))
                 row = doc[at]
@@ -236,7 +241,7 @@ def remove_repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "do
     the same text or another, is removed; kept words are joined by one space
     (``kept`` is null without ``with_text``).
 
-    Words are ``[^\\x20\\x09-\\x0D]+``.  After four rounds of recompression every
+    Words are ``[^\\x20\\x09-\\x0D]+``.  After three rounds of recompression every
     window is filed under the least high-level symbol that its own words decide
     (or one of a lower level, down to the words, if no higher one is decided).
     Equal windows have equal symbols at equal places, so windows whose symbol
