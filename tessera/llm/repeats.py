@@ -72,12 +72,14 @@ def repeated_spans(
     kind = source.schema["id"].dataType.simpleString()
     schema = f"key long, print long, id {kind}, h int, at int, n int"
     found = source.mapInArrow(anchors, schema)
-    # Partial counts: a name that every document has is one row per task here.
+    # Partial counts: a name that every document has is one row per task here.  They are
+    # written, so that the join below deals out both sides anew and Spark can split a large key.
     keys = found.groupBy("key").agg(F.count("*").alias("times"), F.min("print").alias("lo"), F.max("print").alias("hi")).filter("times > 1").select("key", "times", (F.col("lo") == F.col("hi")).alias("same"))
+    keys = settled(keys, f"{name}-keys")
     shared = settled(found.join(keys, "key"), f"{name}-shared")
     whole = shared.filter("same").select("id", "h", "at", "n")
     mixed = shared.filter("NOT same").select("key", "print", "id", "h", "at", "n", "times")
-    groups = mixed.groupBy("key", "print").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "at")).alias("first"))
+    groups = settled(mixed.groupBy("key", "print").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "at")).alias("first")), f"{name}-groups")
     mixed = settled(mixed.join(groups, ["key", "print"]), f"{name}-mixed")
     whole = whole.unionByName(mixed.filter("copies > 1").select("id", "h", "at", "n"))
     # One range of each group of equal ones stands for it; groups of one get their result.
