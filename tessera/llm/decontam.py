@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BYTES, chunks, hash_words, text_buffers
+from tessera.llm.common import CHUNK_BYTES, chunks, hash_words, rolling, text_buffers
 
 K1, B = 1.2, 0.75
 SEGMENT = 64
@@ -66,6 +66,17 @@ def in_order(part: np.ndarray, passage: np.ndarray) -> float:
     return float(row[-1]) / len(part)
 
 
+def verified(question: np.ndarray, answer: np.ndarray, passage: np.ndarray, min_overlap: float) -> tuple[float, float] | None:
+    """The overlaps of question and answer if both suffice and the passage also
+    has a run of the item's words unchanged: half the item, 5 to 8 words."""
+    item = np.concatenate([question, answer])
+    run = min(8, max(5, len(item) // 2))
+    if not np.isin(rolling(item, run), rolling(passage, run)).any():
+        return None
+    q, a = in_order(question, passage), in_order(answer, passage)
+    return (q, a) if q >= min_overlap and a >= min_overlap else None
+
+
 @dataclass(frozen=True)
 class ItemIndex:
     """Postings of one slab of item pieces.  A piece is at most SEGMENT words of
@@ -179,10 +190,9 @@ class ItemIndex:
                 if whole > SEGMENT:  # pieces lie in several passages: widen to the item's length on both sides
                     a, b = np.searchsorted(doc, [d, d + 1])
                     lo, to = max(a, lo - whole), min(b, to + whole)
-                passage = words[lo:to]
-                q, a_ = in_order(question, passage), in_order(answer, passage)
-                if q >= min_overlap and a_ >= min_overlap and (best is None or (score, q, a_) > best):
-                    best = (score, q, a_)
+                found = verified(question, answer, words[lo:to], min_overlap)
+                if found and (best is None or (score, *found) > best):
+                    best = (score, *found)
             if best:
                 out.append((d, item, *best))
         return out
@@ -217,7 +227,7 @@ def find_leaks(
     passage's two segments first and for its distinct terms then; the rest is
     scored exactly and all items at ``min_score`` or above are kept.  An item
     counts as leaked if the passage has at least ``min_overlap`` of the words of
-    its question and of its answer in order.
+    its question and of its answer in order, and a run of its words unchanged.
 
     Items longer than 64 words are indexed in pieces.  Null texts and items
     under 5 words match nothing; repeated rows are judged one by one; empty
