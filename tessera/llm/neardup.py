@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     placed = members.select("member", F.posexplode("keys").alias("band", "key")).select("member", F.xxhash64("band", "key").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     placed = settled(placed.join(shared, "bucket"), "near-buckets")
+    sets = settled(_sets(source, placed.select("member").distinct(), weighting), "near-shingles")
 
     links, classes, nth = None, None, 0
     tried = None
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         found = settled(found, f"near-candidates-{nth}")
         if found.isEmpty():
             break
-        verified = settled(_verified(source, found, threshold, weighting), f"near-links-{nth}")
+        verified = settled(_verified(sets, found, threshold), f"near-links-{nth}")
         tried = found if tried is None else tried.unionByName(found)
         grown = not verified.isEmpty()
         links = verified if links is None else links.unionByName(verified)
@@ -243,12 +244,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 MAX_REDRAWS = 4
 
 
-def _verified(source: DataFrame, pairs: DataFrame, threshold: float, weighting: str) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets reach the threshold.  Only the
-    texts named in a pair are cut into shingles, one text per id."""
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+def _sets(source: DataFrame, members: DataFrame, weighting: str) -> DataFrame:
+    """``id, shingles`` of the members that share a bucket with another, one text
+    per id.  Texts are dealt once, by a shuffle at every size: a broadcast of
+    the members would only do for few."""
+    wanted = members.select(F.col("member").alias("w")).hint("shuffle_hash")
     texts = source.join(wanted, source["id"] == wanted["w"], "left_semi").mapInArrow(_shingle_lists(weighting), "id long, shingles binary")
-    sets = settled(texts.dropDuplicates(["id"]), "near-shingles")
+    return texts.dropDuplicates(["id"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the threshold."""
     x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     scored = joined.mapInArrow(_similarity, "a long, b long, similarity double")
