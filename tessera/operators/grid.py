@@ -55,6 +55,11 @@ def unravel_index(flat: Column, shape: tuple[int, ...], order: str = "C") -> lis
     return [F.expr("CAST(0 AS BIGINT)") if s == 1 else F.floor(flat / st).cast("bigint") % s for s, st in zip(shape, strides(shape, order), strict=True)]
 
 
+def _places(n: int) -> Column:
+    """0 to n-1, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")) if n > 0 else F.array().cast("array<bigint>"))
+
+
 class Grid:
     def __init__(self, df: DataFrame, shape: tuple[int, ...]):
         self.df, self.shape = df.select(*axes(len(shape)), "v"), tuple(shape)
@@ -160,7 +165,7 @@ class Grid:
         df = self.df.select(*[F.col(f"i{k}").alias(f"i{k + lead}") for k in range(self.ndim)], "v")
         for k, s in enumerate(shape):
             if k < lead or self.shape[k - lead] != s:
-                df = df.withColumn(f"i{k}", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).cast("bigint") if s else F.lit(0))
+                df = df.withColumn(f"i{k}", _places(s))
         return Grid(df, tuple(shape))
 
     # --- rearrangement
@@ -197,13 +202,13 @@ class Grid:
         reps = [1] * (n - len(reps)) + list(reps)
         df = base.df
         for k, r in enumerate(reps):
-            df = df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))).withColumn(f"i{k}", F.col(f"i{k}") + F.col("_r") * base.shape[k])
+            df = df.withColumn("_r", _places(r)).withColumn(f"i{k}", F.col(f"i{k}") + F.col("_r") * base.shape[k])
         return Grid(df, tuple(s * r for s, r in zip(base.shape, reps, strict=True)))
 
     def repeat(self, n: int, axis: int | None = None) -> Grid:
         base = self.ravel() if axis is None else self
         at = normal_axis(axis or 0, base.ndim)
-        df = base.df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(f"i{at}", F.col(f"i{at}") * n + F.col("_r"))
+        df = base.df.withColumn("_r", _places(n)).withColumn(f"i{at}", F.col(f"i{at}") * n + F.col("_r"))
         return Grid(df, tuple(s * n if k == at else s for k, s in enumerate(base.shape)))
 
     def pad(self, before: list[int], after: list[int], mode: str = "constant", value=0) -> Grid:
@@ -354,7 +359,7 @@ class Grid:
 
     def vander(self, n: int | None = None, increasing: bool = False) -> Grid:
         n = self.shape[0] if n is None else n
-        k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+        k = _places(n)
         df = self.df.withColumn("i1", k).withColumn("v", F.pow("v", F.col("i1") if increasing else n - 1 - F.col("i1")))
         return Grid(df, (self.shape[0], n))
 
@@ -393,7 +398,7 @@ class Grid:
     def sliding_window_view(self, width: int) -> Grid:
         """Of a vector: (n-width+1) x width."""
         n = self.shape[0] - width + 1
-        df = self.df.withColumn("i1", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("bigint")).withColumn("i0", F.col("i0") - F.col("i1"))
+        df = self.df.withColumn("i1", _places(width)).withColumn("i0", F.col("i0") - F.col("i1"))
         return Grid(df.filter((F.col("i0") >= 0) & (F.col("i0") < n)), (n, width))
 
     # --- arithmetic
