@@ -265,9 +265,9 @@ class Formula:
     def diff(self, x: str | None = None) -> Formula:
         return Formula(differentiate(self.tree, x or self.variables[0]), self.variables)
 
-    def dual(self, x: str, **at: Column) -> Column:
+    def dual(self, wrt: str, /, **at: Column) -> Column:
         """struct<value, slope>: forward differentiation in one pass."""
-        return F.struct(self.column(**at).alias("value"), self.diff(x).column(**at).alias("slope"))
+        return F.struct(self.column(**at).alias("value"), self.diff(wrt).column(**at).alias("slope"))
 
     def gradient(self) -> list[Formula]:
         return [self.diff(v) for v in self.variables]

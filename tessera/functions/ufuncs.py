@@ -57,7 +57,7 @@ true_divide = divide
 
 
 def is_negative_zero(x: Column) -> Column:
-    return (x == 0) & F.cast(x, "string").startswith("-")
+    return (x == 0) & x.cast("string").startswith("-")
 
 
 def remainder(a: Value, b: Value) -> Column:

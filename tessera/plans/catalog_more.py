@@ -187,13 +187,13 @@ def quantum_fourier(spark, sf_dir):
 
 
 @register("""
-SELECT p_partkey, round(0.5 * p_size * p_retailprice * p_retailprice, 1) AS ke, round(p_size * cos(0.5) * 2, 6) AS x, round(p_size * sin(0.5) * 2 - 0.5 * 9.80665 * 4, 6) AS y, round(2 * pi() * sqrt((p_size + 1) / 9.80665), 6) AS period, round(exp(-1.0 * p_size * p_size / 40) / sqrt(40 * pi()), 6) AS heat
+SELECT p_partkey, round(0.5 * p_size * p_retailprice * p_retailprice / 7, 3) AS ke, round(p_size * cos(0.5) * 2, 6) AS x, round(p_size * sin(0.5) * 2 - 0.5 * 9.80665 * 4, 6) AS y, round(2 * pi() * sqrt((p_size + 1) / 9.80665), 6) AS period, round(exp(-1.0 * p_size * p_size / 40) / sqrt(40 * pi()), 6) AS heat
 FROM part
 """)
 def physics_formulas(spark, sf_dir):
     s, p = F.col("p_size"), F.col("p_retailprice")
     shot = physics.projectile(F.lit(2.0), s, F.lit(0.5))
-    return read(spark, sf_dir, "part").select("p_partkey", F.round(physics.kinetic_energy(s, p), 1).alias("ke"), r6(shot["x"]).alias("x"), r6(shot["y"]).alias("y"), r6(physics.pendulum_period(s + 1)).alias("period"), r6(physics.heat_kernel(s, F.lit(10.0), 1.0)).alias("heat"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(physics.kinetic_energy(s, p) / 7, 3).alias("ke"), r6(shot["x"]).alias("x"), r6(shot["y"]).alias("y"), r6(physics.pendulum_period(s + 1)).alias("period"), r6(physics.heat_kernel(s, F.lit(10.0), 1.0)).alias("heat"))
 
 
 @register("""
