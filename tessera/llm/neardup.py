@@ -179,9 +179,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
        aggregates, so no group is gathered or paired with itself whatever its
        size.  16 bands give each member up to 32 partners of different kinds.
     3. Candidates are verified by the exact similarity of their shingle sets.
-    4. In buckets whose members are then still in several classes the leaders
-       are drawn anew among members of other classes, until a round finds no
-       new link.
+    4. In buckets whose members are then still in several classes leaders are
+       drawn anew and compared with the members of other classes, until a round
+       finds no new link, at most MAX_REDRAWS times in all.
 
     At similarity 0.8 a pair shares one of 16 bands of 4 with probability
     1-(1-0.8**4)**16 = 0.9998.  Texts without words (null, empty) belong to no
@@ -203,16 +203,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     while True:
         order = F.xxhash64(F.lit(nth), "bucket", "member")
         if classes is None:
-            field = placed
+            field = placed.withColumn("root", F.col("member"))
         else:
             # Only buckets that still hold members of several classes.
             named = placed.join(classes, placed["member"] == classes["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
             open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-            field = named.join(open_, "bucket").select("bucket", "member")
-        leaders = field.groupBy("bucket").agg(F.min_by("member", order).alias("low"), F.max_by("member", order).alias("high"))
-        met = field.join(leaders, "bucket")
-        found = met.select(F.col("member").alias("x"), F.col("low").alias("y")).unionByName(met.select(F.col("member").alias("x"), F.col("high").alias("y")))
-        found = found.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            field = settled(named.join(open_, "bucket").select("bucket", "member", "root"), f"near-open-{nth}")
+        who = F.struct("member", "root")
+        leaders = field.groupBy("bucket").agg(F.min_by(who, order).alias("low"), F.max_by(who, order).alias("high"))
+        # Both leaders of a bucket in one row each; members of a leader's own class need no more links to it.
+        met = field.join(leaders, "bucket").select("member", "root", F.explode(F.array("low", "high")).alias("y")).filter("root <> y.root")
+        found = met.select(F.least("member", "y.member").alias("a"), F.greatest("member", "y.member").alias("b")).distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = settled(found, f"near-candidates-{nth}")
