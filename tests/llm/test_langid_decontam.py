@@ -1,12 +1,10 @@
 import random
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import pytest
 
 from tessera.llm import decontam, langid
-from tessera.llm.common import text_buffers
+from tests_llm_helpers import brute_leaks
 
 SYLLABLES = {"xx": ["ka", "lo", "mi", "zu"], "yy": ["schr", "ung", "ein", "ter"], "zz": ["ção", "lh", "nh", "ei"]}
 
@@ -90,36 +88,6 @@ def leak_case():
     return docs + [(100, None), (101, ""), (102, text(60_000) + " " + items[0][1])], items, planted | {(102, 0)}
 
 
-def brute_leaks(docs, items, min_score, min_overlap):
-    """Every item piece scored against every passage, without index or bounds."""
-    index = decontam.ItemIndex.build(items)
-    out = set()
-    for d, t in docs:
-        words, doc = decontam.words_of(*text_buffers(pc.utf8_lower(pa.array([t], pa.string()))))
-        hits = {}
-        n = len(words)
-        term = index.term_numbers(words)
-        for s in range(0, n, decontam.SEGMENT):
-            if s and s + decontam.SEGMENT >= n:
-                continue
-            seen = {x for x in term[s : s + 2 * decontam.SEGMENT].tolist() if x < len(index.terms)}
-            score = np.zeros(len(index.items))
-            for x in seen:
-                for k in range(index.post_at[x], index.post_at[x + 1]):
-                    score[index.post_piece[k]] += index.post_impact[k]
-            for piece in np.flatnonzero(score >= min_score):
-                hits.setdefault(int(index.items[piece]), []).append((s, min(n, s + 2 * decontam.SEGMENT)))
-        for item, spans in hits.items():
-            q, a = index.parts[item]
-            size = len(q) + len(a)
-            for lo, to in spans:
-                if size > decontam.SEGMENT:
-                    lo, to = max(0, lo - size), min(n, to + size)
-                if decontam.verified(q, a, words[lo:to], min_overlap):
-                    out.add((d, index.item_ids[item]))
-    return out
-
-
 @pytest.mark.parametrize("min_score,min_overlap", [(0.6, 0.8), (0.3, 0.4)])
 def test_leaks_against_brute_force(spark, min_score, min_overlap, monkeypatch):
     monkeypatch.setattr(decontam, "SLAB_ITEMS", 1000)

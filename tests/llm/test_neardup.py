@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from tessera.llm import graph, neardup
+from tests_llm_helpers import brute_classes
 
 
 def corpus(seed=1):
@@ -22,26 +22,6 @@ def corpus(seed=1):
     return out + [None, "", " \n", "one two", "one two", "one  two three", "w " * 20_000, "w " * 15_000]
 
 
-def brute_classes(texts, weighting="set"):
-    sets = []
-    for t in texts:
-        h, at, times = neardup.shingle_hashes(pa.array([t], pa.string()))
-        sets.append({(x, k) for x, n in zip(h.tolist(), times.tolist(), strict=True) for k in range(n if weighting == "count" else 1)})
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(texts))]
-
-
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_classes_against_brute_force(spark, weighting):
     texts = corpus()
