@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from tessera.operators import aggregates
 
 
+MAX_BROADCAST = 1_000_000  # elements; sizes are known from shapes
+
+
 def axes(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
 
@@ -418,7 +421,8 @@ class Grid:
         if shared:
             joined = a.join(b, shared)
         else:  # one side is a single element, or an outer combination was asked for
-            joined = a.crossJoin(F.broadcast(b)) if other.size <= self.size else b.crossJoin(F.broadcast(a))
+            small, large = (b, a) if other.size <= self.size else (a, b)
+            joined = large.crossJoin(F.broadcast(small) if min(self.size, other.size) <= MAX_BROADCAST else small)
         return Grid(joined.withColumn("v", f(F.col("_a"), F.col("_b"))), shape)
 
     def _op(self, other, f) -> Grid:
