@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix64, rolling, settled, text_buffers, word_spans
@@ -180,8 +180,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
        size.  16 bands give each member up to 32 partners of different kinds.
     3. Candidates are verified by the exact similarity of their shingle sets.
     4. In buckets whose members are then still in several classes leaders are
-       drawn anew and compared with the members of other classes, until a round
-       finds no new link, at most MAX_REDRAWS times in all.
+       drawn anew and compared with the members of other classes, as long as a
+       round finds a link, at most MAX_REDRAWS times in all.
+    5. Whatever buckets are then still open is compared as a whole: all pairs of
+       their members in different classes are candidates, but those that
+       cannot reach the threshold by their prefixes (see ``_unmet``).
 
     At similarity 0.8 a pair shares one of 16 bands of 4 with probability
     1-(1-0.8**4)**16 = 0.9998.  Texts without words (null, empty) belong to no
@@ -198,17 +201,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     placed = settled(placed.join(shared, "bucket"), "near-buckets")
     sets = settled(_sets(source, placed.select("member").distinct(), weighting), "near-shingles")
 
-    links, classes, nth = None, None, 0
-    tried = None
-    while True:
+    links, classes, tried = None, None, None
+    for nth in range(MAX_REDRAWS):
         order = F.xxhash64(F.lit(nth), "bucket", "member")
-        if classes is None:
-            field = placed.withColumn("root", F.col("member"))
-        else:
-            # Only buckets that still hold members of several classes.
-            named = placed.join(classes, placed["member"] == classes["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
-            open_ = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-            field = settled(named.join(open_, "bucket").select("bucket", "member", "root"), f"near-open-{nth}")
+        field = placed.withColumn("root", F.col("member")) if classes is None else settled(_open(placed, classes), f"near-open-{nth}")
         who = F.struct("member", "root")
         leaders = field.groupBy("bucket").agg(F.min_by(who, order).alias("low"), F.max_by(who, order).alias("high"))
         # Both leaders of a bucket in one row each; members of a leader's own class need no more links to it.
@@ -221,16 +217,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             break
         verified = settled(_verified(sets, found, threshold), f"near-links-{nth}")
         tried = found if tried is None else tried.unionByName(found)
-        grown = not verified.isEmpty()
-        links = verified if links is None else links.unionByName(verified)
-        nth += 1
-        if not grown or nth >= MAX_REDRAWS:
+        if verified.isEmpty():
             break
+        links = verified if links is None else links.unionByName(verified)
         classes = components(links)
+    # Leaders only shrink the work: what they left open is compared without exception.
+    field = placed.withColumn("root", F.col("member")) if classes is None else _open(placed, classes)
+    rest = _unmet(sets, settled(field.select("member", "root").distinct(), "near-unmet"), threshold)
+    if rest is not None:
+        if tried is not None:
+            rest = rest.join(tried, ["a", "b"], "left_anti")
+        verified = settled(_verified(sets, settled(rest, "near-candidates-rest"), threshold), "near-links-rest")
+        if not verified.isEmpty():
+            links = verified if links is None else links.unionByName(verified)
+            classes = components(links)
     if links is None:
         named = members.select("same", "member", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"))
     else:
-        classes = components(links) if classes is None or grown else classes
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         named = members.join(classes, members["member"] == classes["node"], "left").drop("node").join(degree, members["member"] == degree["node"], "left")
         named = named.select("same", "member", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -245,6 +248,57 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 MAX_REDRAWS = 4
 
 
+def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``bucket, member, root`` of the buckets that hold members of several classes."""
+    named = placed.join(classes, placed["member"] == classes["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    return named.join(several, "bucket").select("bucket", "member", "root")
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for member, root, raw in zip(*batch.columns, strict=True):
+            shingles = np.frombuffer(raw.as_buffer(), np.int64)
+            n = len(shingles)
+            for at in range(0, n, CHUNK_BYTES // 8):
+                part = shingles[at : at + CHUNK_BYTES // 8]
+                same = [pa.array(np.full(len(part), v, np.int64)) for v in (member.as_py(), root.as_py(), n)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["member", "root", "size", "shingle"])
+
+
+def _unmet(sets: DataFrame, field: DataFrame, threshold: float) -> DataFrame | None:
+    """``a, b``: a superset of the pairs of ``field`` (``member, root``) in different
+    classes whose similarity reaches the threshold; None if field is empty.
+
+    Prefix filter: in any order of all shingles, two such sets share one among
+    each one's first size - ceil(threshold * size) + 1.  First come shingles
+    that occur in one class only and so make no pair, then rare ones; what a
+    template puts into every text comes last.  From the first shared shingle on
+    both sets must still have enough left, and sizes must be alike.  Of a
+    shingle's holders those in its most frequent class are not paired with
+    each other, so a large class costs no more than its members.
+    """
+    if field.isEmpty():
+        return None
+    texts = sets.join(field, sets["id"] == field["member"]).select("member", "root", "shingles")
+    cells = texts.mapInArrow(_elements, "member long, root long, size long, shingle long")
+    across = cells.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", "n")
+    common = cells.join(across, "shingle")
+    one = Window.partitionBy("member")
+    ranked = common.select("member", "root", "size", "shingle", (F.col("size") - F.count("*").over(one) + F.row_number().over(one.orderBy("n", "shingle")) - 1).alias("at"))
+    least = F.ceil(F.col("size") * threshold - 1e-9)
+    heads = settled(ranked.filter(F.col("at") <= F.col("size") - least), "near-prefixes")
+    top = heads.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    top = top.select("shingle", F.col("top.root").alias("top"))
+    y = heads.join(top, "shingle")
+    x = y.filter("root <> top").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("member", "root", "size", "at")))
+    enough = F.least(F.col("size") - F.col("at"), F.col("x_size") - F.col("x_at")) >= (F.col("size") + F.col("x_size")) * (threshold / (1 + threshold)) - 1e-6
+    alike = F.least("size", "x_size") >= F.greatest("size", "x_size") * threshold - 1e-6
+    once = (F.col("root") == F.col("top")) | (F.col("x_member") < F.col("member"))
+    pairs = x.join(y, "shingle").filter((F.col("root") != F.col("x_root")) & once & alike & enough)
+    return pairs.select(F.least("member", "x_member").alias("a"), F.greatest("member", "x_member").alias("b")).distinct()
+
+
 def _sets(source: DataFrame, members: DataFrame, weighting: str) -> DataFrame:
     """``id, shingles`` of the members that share a bucket with another, one text
     per id.  Texts are dealt once, by a shuffle at every size: a broadcast of

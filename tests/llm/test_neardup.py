@@ -46,6 +46,34 @@ def test_one_large_group_of_near_copies(spark):
     assert {r.class_id for r in out} == {0} and sum(r.kept for r in out) == 1
 
 
+@pytest.mark.parametrize("group", [0, 150])
+def test_pairs_inside_a_large_template_bucket(spark, group):
+    """Texts at 0.79 of each other, near copies at 0.81 of some, and a large class in the same buckets."""
+    rnd = random.Random(5)
+    template = [f"t{k}" for k in range(150)]
+    texts = [" ".join(template + [f"u{i}x{k}" for k in range(19)]) for i in range(500)]
+    copies = rnd.sample(range(500), 60)
+    for i in copies:
+        texts.append(" ".join(texts[i].split()[:-17] + [f"c{i}x{k}" for k in range(17)]))
+    texts += [" ".join(template + [f"g{k}" for k in range(18)] + [f"z{j}"]) for j in range(group)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert [out[500 + k] for k in range(60)] == copies
+    assert all(out[i] == i for i in range(500)) and {out[i] for i in range(560, len(texts))} <= {560}
+
+
+def test_unmet_pairs_hold_every_link(spark):
+    rnd = random.Random(6)
+    sets = {i: rnd.sample(range(40), rnd.randint(1, 40)) for i in range(0, 120, 2)}
+    sets |= {i + 1: sorted(set(s) - set(rnd.sample(s, min(len(s) // 6, 3)))) for i, s in sets.items()}
+    root = {i: i - i % 12 if i < 60 else i for i in sets}
+    raw = spark.createDataFrame([(i, np.array(sorted(s), np.int64).tobytes()) for i, s in sets.items()], "id long, shingles binary")
+    field = spark.createDataFrame(list(root.items()), "member long, root long")
+    got = {(r.a, r.b) for r in neardup._unmet(raw, field, 0.8).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert links and links <= got and all(root[a] != root[b] for a, b in got)
+
+
 def test_repeats_nulls_and_empty(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(5, text), (5, text), (7, text), (None, text), (None, None)], "doc_id long, text string")
