@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, exact, langid, mixing, neardup
-from tessera.llm.common import settled
+from tessera.llm.common import settled, with_text_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontam.find_leaks(docs, items).select(F.col("id").alias("_leaks")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leaks"]), "left_anti")
+    rows, h = with_text_key(docs, "text")
+    # The row's id and text decide, as ids may be null or repeat.
+    named = rows.select(F.struct(F.col("doc_id").alias("i"), F.col(h).alias("h")).alias("row"), "text")
+    leaks = decontam.find_leaks(named, items, id_col="row").select(F.col("id.i").alias("_leaks"), F.col("id.h").alias("_leaks_h")).distinct()
+    return rows.join(leaks, rows["doc_id"].eqNullSafe(leaks["_leaks"]) & (rows[h] == leaks["_leaks_h"]), "left_anti").drop(h)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

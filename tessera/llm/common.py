@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -153,5 +154,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text_col: str) -> Column:
+    """A hash of the text that, with the id, tells rows apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def with_text_key(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with its text keys in a column of a free name, and that name."""
+    name = "_h"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, text_key(text_col)), name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

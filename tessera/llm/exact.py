@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, settled
+from tessera.llm.common import SPACES, settled, text_key, with_text_key
 
 PREFIX_BYTES = 64
 
 
 def _keys(digest: bool):
-    """Arrow batches of (id, text) to narrow rows: lengths, prefix hash and,
+    """Arrow batches of (id, text, key of the text) to narrow rows: lengths, prefix hash and,
     if asked for, the full digest of the normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,8 +31,8 @@ def _keys(digest: bool):
                 prefix.append(int.from_bytes(head, "little", signed=True))
                 full.append(hashlib.sha256(kept).hexdigest() if digest else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.int64()), pa.array(full, pa.string())],
-                names=["id", "n_chars", "n_bytes", "prefix", "digest"],
+                [batch.column(0), batch.column(2), pc.utf8_length(texts).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.int64()), pa.array(full, pa.string())],
+                names=["id", "h", "n_chars", "n_bytes", "prefix", "digest"],
             )
 
     return run
@@ -56,9 +56,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read, so their names don't matter.  ``digest`` is null for rows that
     dropped out of the refinement unless ``digest_all``.
     """
+    return _decided(docs, id_col, text_col, digest_all).select("id", "keep_id", "group_size", "kept", "digest")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
+    """The rows of ``exact_dedup`` with ``h`` and ``keep_h``, the text keys of the
+    row and of the one that stays: ids may be null or repeat with other texts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, n_chars long, n_bytes long, prefix long, digest string"
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
+    schema = f"id {kind}, h long, n_chars long, n_bytes long, prefix long, digest string"
     rows = settled(source.mapInArrow(_keys(digest_all), schema), "exact-keys")
 
     same_size = rows.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", F.lit(True).alias("round_1"))
@@ -68,8 +74,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not digest_all:
         wanted = rows.filter("round_2").select("id").distinct()
         reread = source.join(wanted, source["id"].eqNullSafe(wanted["id"]), "left_semi").mapInArrow(_keys(True), schema)
-        full = reread.select(F.col("id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("prefix").alias("_p"), F.col("digest").alias("_d")).distinct()
-        at = rows["id"].eqNullSafe(full["_id"]) & (rows["n_bytes"] == full["_n"]) & (rows["prefix"] == full["_p"])
+        full = reread.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("n_bytes").alias("_n"), F.col("prefix").alias("_p"), F.col("digest").alias("_d")).distinct()
+        at = rows["id"].eqNullSafe(full["_id"]) & (rows["h"] == full["_h"]) & (rows["n_bytes"] == full["_n"]) & (rows["prefix"] == full["_p"])
         rows = rows.drop("digest").join(full, at, "left").withColumnRenamed("_d", "digest")
     # Rows that dropped out get a key of their own, so that they don't meet in one task as nulls would.
     alone = F.concat(F.lit("row "), F.hex(F.xxhash64("id")))
@@ -78,13 +84,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = (
         rows.filter("round_2")
         .groupBy("group_key")
-        .agg(F.count("*").alias("n"), F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("i"))).alias("best"))
+        .agg(F.count("*").alias("n"), F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("i"), F.col("h").alias("h"))).alias("best"))
         .filter("n > 1")
-        .select("group_key", "n", F.col("best.i").alias("best"))
+        .select("group_key", "n", F.col("best.i").alias("best"), F.col("best.h").alias("best_h"))
     )
     grouped = F.col("n").isNotNull()
     return rows.join(groups, "group_key", "left").select(
         "id",
+        "h",
+        F.when(grouped, F.col("best_h")).otherwise(F.col("h")).alias("keep_h"),
         F.when(grouped, F.col("best")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (~grouped | F.col("id").eqNullSafe(F.col("best"))).alias("kept"),
@@ -97,9 +105,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows that repeat the kept row's id and text are reduced to one as well.
     """
-    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("id").alias("_stays")).distinct()
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    stays = _decided(docs, id_col, text_col, False).filter("kept AND h = keep_h").select(F.col("id").alias("_stays"), F.col("h").alias("_stays_h")).distinct()
+    rows, h = with_text_key(docs, text_col)
+    kept = rows.join(stays, rows[id_col].eqNullSafe(stays["_stays"]) & (rows[h] == stays["_stays_h"]), "left_semi")
+    return kept.dropDuplicates([id_col, h]).drop(h)
 
 
 def normalised(text: str | None) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix64, rolling, settled, text_buffers, word_spans
+from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix64, rolling, settled, text_buffers, text_key, with_text_key, word_spans
 from tessera.llm.graph import components
 
 SHINGLE = 5
@@ -115,7 +115,7 @@ def dart_signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, k: int,
 def _band_keys(bands: int, rows: int, weighting: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in chunks(batch.columns, 1, CHUNK_BYTES):
+            for ids, texts, keys_of_texts in chunks(batch.columns, 1, CHUNK_BYTES):
                 hashes, at, times = shingle_hashes(texts)
                 n = len(texts)
                 filled = np.bincount(at, minlength=n) > 0
@@ -133,7 +133,7 @@ def _band_keys(bands: int, rows: int, weighting: str):
                 same = mix64(same + np.bincount(at, minlength=n).astype(np.uint64))
                 flat = keys.view(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(filled), pa.array(same.view(np.int64)), lists], names=["id", "filled", "same", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, keys_of_texts, pa.array(filled), pa.array(same.view(np.int64)), lists], names=["id", "h", "filled", "same", "keys"])
 
     return run
 
@@ -189,17 +189,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     At similarity 0.8 a pair shares one of 16 bands of 4 with probability
     1-(1-0.8**4)**16 = 0.9998.  Texts without words (null, empty) belong to no
     class but their own; a text under five words is one shingle.  Repeated rows
-    and ids are members of the same class.  Ids must be integers; a null id
+    share a decision; rows that repeat an id with another text are told apart.  Ids must be integers; a null id
     stands alone.  An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = settled(source.mapInArrow(_band_keys(bands, rows, weighting), "id long, filled boolean, same long, keys array<long>"), "near-signatures")
+    return _decided(docs, threshold, bands, rows, id_col, text_col, weighting).drop("h")
+
+
+def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", weighting: str = "set") -> DataFrame:
+    """The rows of ``near_duplicates`` with ``h``, the key of the row's text."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
+    signed = settled(source.mapInArrow(_band_keys(bands, rows, weighting), "id long, h long, filled boolean, same long, keys array<long>"), "near-signatures")
     solid = signed.filter("filled AND id IS NOT NULL")
-    members = settled(solid.groupBy("same").agg(F.min("id").alias("member"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "near-members")
+    members = settled(solid.groupBy(F.col("same").alias("member")).agg(F.min(F.struct("id", "h")).alias("row"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "near-members")
     placed = members.select("member", F.posexplode("keys").alias("band", "key")).select("member", F.xxhash64("band", "key").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     placed = settled(placed.join(shared, "bucket"), "near-buckets")
-    sets = settled(_sets(source, placed.select("member").distinct(), weighting), "near-shingles")
+    sets = settled(_sets(source, members.join(placed.select("member").distinct(), "member", "left_semi").select("member", "row"), weighting), "near-shingles")
 
     links, classes, tried = None, None, None
     for nth in range(MAX_REDRAWS):
@@ -232,17 +237,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             links = verified if links is None else links.unionByName(verified)
             classes = components(links)
     if links is None:
-        named = members.select("same", "member", F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"))
+        named = members.select("member", "row", F.col("member").alias("root"), F.lit(0).cast("long").alias("n_links"))
     else:
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         named = members.join(classes, members["member"] == classes["node"], "left").drop("node").join(degree, members["member"] == degree["node"], "left")
-        named = named.select("same", "member", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = named.select("same", F.coalesce("root", "member").alias("class_id"), "n_links")
+        named = named.select("member", "row", F.coalesce("root", "member").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Members are named by their sets, so a class takes its name from its least row.
+    first = named.groupBy("root").agg(F.min("row").alias("stays"))
+    named = named.join(first, "root").select("member", "stays", "n_links")
     inside = F.col("filled") & F.col("id").isNotNull()
     alone = F.concat(F.lit("row "), F.col("id"))
-    rows_ = signed.select("id", F.when(inside, F.col("same").cast("string")).otherwise(F.coalesce(alone, F.lit("row"))).alias("key"))
-    out = rows_.join(named.withColumn("key", F.col("same").cast("string")), "key", "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("class_id").isNull() | (F.col("class_id") == F.col("id"))).alias("kept"))
+    rows_ = signed.select("id", "h", F.when(inside, F.col("same").cast("string")).otherwise(F.coalesce(alone, F.lit("row"))).alias("key"))
+    out = rows_.join(named.withColumn("key", F.col("member").cast("string")), "key", "left")
+    return out.select("id", "h", F.coalesce("stays.id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("stays").isNull() | ((F.col("stays.id") == F.col("id")) & (F.col("stays.h") == F.col("h")))).alias("kept"))
 
 
 MAX_REDRAWS = 4
@@ -300,12 +307,12 @@ def _unmet(sets: DataFrame, field: DataFrame, threshold: float) -> DataFrame | N
 
 
 def _sets(source: DataFrame, members: DataFrame, weighting: str) -> DataFrame:
-    """``id, shingles`` of the members that share a bucket with another, one text
-    per id.  Texts are dealt once, by a shuffle at every size: a broadcast of
+    """``id, shingles`` of the members that share a bucket with another, each by
+    the text of its own row.  Texts are dealt once, by a shuffle at every size: a broadcast of
     the members would only do for few."""
-    wanted = members.select(F.col("member").alias("w")).hint("shuffle_hash")
-    texts = source.join(wanted, source["id"] == wanted["w"], "left_semi").mapInArrow(_shingle_lists(weighting), "id long, shingles binary")
-    return texts.dropDuplicates(["id"])
+    wanted = members.select(F.col("row.id").alias("w"), F.col("row.h").alias("w_h"), "member").hint("shuffle_hash")
+    texts = source.join(wanted, (source["id"] == wanted["w"]) & (source["h"] == wanted["w_h"])).select("member", "text")
+    return texts.mapInArrow(_shingle_lists(weighting), "id long, shingles binary").dropDuplicates(["id"])
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -318,5 +325,6 @@ def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents with one of each class of near copies, all columns kept."""
-    stays = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("kept").select(F.col("id").alias("_stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
+    stays = _decided(docs, id_col=id_col, text_col=text_col, **how).filter("kept").select(F.col("id").alias("_stays"), F.col("h").alias("_stays_h")).distinct()
+    keyed, h = with_text_key(docs, text_col)
+    return keyed.join(stays, keyed[id_col].eqNullSafe(stays["_stays"]) & (keyed[h] == stays["_stays_h"]), "left_semi").drop(h)

@@ -79,6 +79,22 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     assert first.columns == table.columns and first.count() == len(docs) - 4
 
 
+def test_null_and_repeated_ids_keep_their_texts(spark, tmp_path):
+    text = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    item = text(99)
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (None, text(4) + " " + item), (5, text(5) + " " + item), (6, text(3) + " more"), (7, text(2).replace(" ", "  ", 1))]
+    write(spark, str(tmp_path), [(i, t, "xx", "a") for i, t in rows], [(1, item)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    exact_left = [rows[k] for k in (0, 1, 4, 5, 6, 7, 8)]
+    docs = corpus_pipeline.exact_copies(spark, docs, str(tmp_path))
+    assert found(docs) == sorted(exact_left, key=repr)
+    docs = corpus_pipeline.near_copies(spark, docs.localCheckpoint(), str(tmp_path))
+    assert found(docs) == sorted((rows[k] for k in (0, 1, 4, 5, 6, 8)), key=repr)
+    docs = corpus_pipeline.benchmark_leaks(spark, docs.localCheckpoint(), str(tmp_path))
+    assert found(docs) == sorted((rows[k] for k in (0, 1, 4, 8)), key=repr)
+
+
 def test_entry_registers_all_queries():
     names = list(__spark_entry__.queries())
     for n in range(1, 11):
