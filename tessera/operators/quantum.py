@@ -13,6 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import settled
+
+# Plans longer than this are cut: the state is written and read again.
+GATES_PER_PLAN = 24
+
 S2 = 1 / math.sqrt(2)
 H = ((S2, S2), (S2, -S2))
 X = ((0, 1), (1, 0))
@@ -39,8 +44,8 @@ def phase(a: float):
 
 
 class State:
-    def __init__(self, df: DataFrame, qubits: int):
-        self.df, self.qubits = df, qubits
+    def __init__(self, df: DataFrame, qubits: int, gates: int = 0):
+        self.df, self.qubits, self.gates = df, qubits, gates
 
     @staticmethod
     def basis(spark: SparkSession, qubits: int, index: int = 0) -> State:
@@ -50,7 +55,6 @@ class State:
     def apply(self, gate, qubit: int, controls: list[int] = ()) -> State:
         """A 2 x 2 gate on a qubit, where all control qubits are 1."""
         bit, mask = 1 << qubit, sum(1 << c for c in controls)
-        on = F.col("i").bitwiseAND(F.lit(mask)) == mask
         side = F.col("i").bitwiseAND(F.lit(bit)) != 0
 
         def amp(hi: bool) -> tuple[Column, Column]:
@@ -59,17 +63,23 @@ class State:
 
         (ar, ai), (br, bi) = amp(False), amp(True)
         base = F.col("i").bitwiseAND(F.lit(~bit))
+        # Both indices of a pair have the same control bits; where one is 0 the identity stands in for the
+        # gate.  So a gate reads its input once, however many gates follow each other.
+        live = F.col("b").bitwiseAND(F.lit(mask)) == mask
 
-        def out(row) -> list[Column]:
+        def out(row, unit: str) -> list[Column]:
             p, q = complex(row[0]), complex(row[1])
             re = F.col("ar") * p.real - F.col("ai") * p.imag + F.col("br") * q.real - F.col("bi") * q.imag
             im = F.col("ar") * p.imag + F.col("ai") * p.real + F.col("br") * q.imag + F.col("bi") * q.real
+            if mask:
+                re, im = F.when(live, re).otherwise(F.col(f"{unit}r")), F.when(live, im).otherwise(F.col(f"{unit}i"))
             return [re.alias("re"), im.alias("im")]
 
-        pairs = self.df.filter(on).groupBy(base.alias("b")).agg(ar.alias("ar"), ai.alias("ai"), br.alias("br"), bi.alias("bi"))
-        lo, hi = out(gate[0]), out(gate[1])
+        pairs = self.df.groupBy(base.alias("b")).agg(ar.alias("ar"), ai.alias("ai"), br.alias("br"), bi.alias("bi"))
+        lo, hi = out(gate[0], "a"), out(gate[1], "b")
         both = pairs.select(F.inline(F.array(F.struct(F.col("b").alias("i"), *lo), F.struct((F.col("b") + bit).alias("i"), *hi))))
-        return State(both.unionByName(self.df.filter(~on)) if mask else both, self.qubits)
+        gates = self.gates + 1
+        return State(settled(both, "gates") if gates % GATES_PER_PLAN == 0 else both, self.qubits, gates)
 
     def h(self, q: int) -> State:
         return self.apply(H, q)
@@ -134,6 +144,7 @@ def grover(spark: SparkSession, qubits: int, target: int) -> State:
         s = s.h(q)
     for _ in range(int(math.pi / 4 * math.sqrt(1 << qubits))):
         df = s.df.withColumn("re", F.when(F.col("i") == target, -F.col("re")).otherwise(F.col("re"))).withColumn("im", F.when(F.col("i") == target, -F.col("im")).otherwise(F.col("im")))
+        df = settled(df, "grover")  # read twice below
         mean = df.agg(F.avg("re").alias("mr"), F.avg("im").alias("mi"))
         s = State(df.crossJoin(F.broadcast(mean)).select("i", (2 * F.col("mr") - F.col("re")).alias("re"), (2 * F.col("mi") - F.col("im")).alias("im")), qubits)
     return s

@@ -12,97 +12,101 @@ from tessera.plans.catalog import r6, read, register
 
 
 def _lines(spark, sf_dir):
-    """A 3-d array: order key, line number, and which of three measures."""
-    l = read(spark, sf_dir, "lineitem").filter("l_orderkey < 100 AND l_linenumber BETWEEN 1 AND 4")  # noqa: E741
+    """A matrix of all order keys by all line numbers: the quantities."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    keys, lines = l.agg(F.max("l_orderkey") + 1, F.max("l_linenumber")).first()
     cells = l.groupBy(F.col("l_orderkey").alias("i0"), (F.col("l_linenumber") - 1).cast("bigint").alias("i1")).agg(F.sum("l_quantity").alias("v"))
-    every = grid.full(spark, (100, 4), 0.0)
-    return every.overlay(grid.Grid(cells, (100, 4)))
+    return grid.full(spark, (keys, lines), 0.0).overlay(grid.Grid(cells, (keys, lines)))
 
 
-LINES = """q AS (SELECT a.i0, b.i1, coalesce(sum(l_quantity), 0.0) AS v FROM (SELECT unnest(range(100)) AS i0) a CROSS JOIN (SELECT unnest(range(4)) AS i1) b
-  LEFT JOIN lineitem ON l_orderkey = a.i0 AND l_linenumber = b.i1 + 1 GROUP BY 1, 2)"""
+# n order keys by m line numbers.
+LINES = """s AS (SELECT CAST(max(l_orderkey) + 1 AS BIGINT) AS n, CAST(max(l_linenumber) AS BIGINT) AS m FROM lineitem),
+  k AS (SELECT unnest(range(n)) AS i0 FROM s), l AS (SELECT unnest(range(m)) AS i1 FROM s),
+  c AS (SELECT l_orderkey AS i0, l_linenumber - 1 AS i1, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+  q AS (SELECT k.i0, l.i1, coalesce(c.v, 0.0) AS v FROM k CROSS JOIN l LEFT JOIN c ON c.i0 = k.i0 AND c.i1 = l.i1)"""
 
 
-@register(f"WITH {LINES} SELECT CAST(3 - i1 AS BIGINT) AS i0, CAST(i0 AS BIGINT) AS i1, v FROM q")
+@register(f"WITH {LINES} SELECT m - 1 - i1 AS i0, i0 AS i1, v FROM q, s")
 def rot90(spark, sf_dir):
     return _lines(spark, sf_dir).rot90().df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 + 100 * (k // 2) AS BIGINT) AS i0, CAST(i1 + 4 * (k % 2) AS BIGINT) AS i1, v FROM q, (SELECT unnest(range(4)) AS k)")
+@register(f"WITH {LINES} SELECT i0 + n * (k // 2) AS i0, i1 + m * (k % 2) AS i1, v FROM q, s, (SELECT unnest(range(4)) AS k)")
 def tile(spark, sf_dir):
     return _lines(spark, sf_dir).tile(2, 2).df
 
 
-@register(f"""WITH {LINES} SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, coalesce(v, -1.0) AS v FROM (SELECT unnest(range(102)) AS a), (SELECT unnest(range(7)) AS b) LEFT JOIN q ON i0 = a - 1 AND i1 = b - 2""")
+@register(f"""WITH {LINES}, a AS (SELECT unnest(range(n + 2)) AS a FROM s), b AS (SELECT unnest(range(m + 3)) AS b FROM s)
+SELECT a AS i0, b AS i1, coalesce(v, -1.0) AS v FROM a CROSS JOIN b LEFT JOIN q ON i0 = a - 1 AND i1 = b - 2""")
 def pad_constant(spark, sf_dir):
     return _lines(spark, sf_dir).pad([1, 2], [1, 1], "constant", -1.0).df
 
 
-@register(f"""WITH {LINES} SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, v FROM (SELECT unnest(range(102)) AS a), (SELECT unnest(range(6)) AS b)
-JOIN q ON i0 = CASE a WHEN 0 THEN 1 WHEN 101 THEN 98 ELSE a - 1 END AND i1 = CASE b WHEN 0 THEN 1 WHEN 5 THEN 2 ELSE b - 1 END""")
+@register(f"""WITH {LINES}, a AS (SELECT a, CASE a WHEN 0 THEN 1 WHEN n + 1 THEN n - 2 ELSE a - 1 END AS f FROM s, unnest(range(n + 2)) t(a)), b AS (SELECT b, CASE b WHEN 0 THEN 1 WHEN m + 1 THEN m - 2 ELSE b - 1 END AS g FROM s, unnest(range(m + 2)) t(b))
+SELECT a AS i0, b AS i1, v FROM a CROSS JOIN b JOIN q ON i0 = f AND i1 = g""")
 def pad_reflect(spark, sf_dir):
     return _lines(spark, sf_dir).pad([1, 1], [1, 1], "reflect").df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, CASE WHEN i1 - i0 <= -1 THEN v ELSE 0 END AS v FROM q WHERE i0 < 4")
+@register(f"WITH {LINES} SELECT i0, i1, CASE WHEN i1 - i0 <= -1 THEN v ELSE 0 END AS v FROM q")
 def tril(spark, sf_dir):
-    return _lines(spark, sf_dir)[:4].tril(-1).df
+    return _lines(spark, sf_dir).tril(-1).df
 
 
-@register(f"WITH {LINES} SELECT CAST(least(i0, i1) AS BIGINT) AS i0, v FROM q WHERE i1 - i0 = 1")
+@register(f"WITH {LINES} SELECT least(i0, i1) AS i0, v FROM q WHERE i1 - i0 = 1")
 def diagonal(spark, sf_dir):
     return _lines(spark, sf_dir).diagonal(1).df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, v FROM q UNION ALL SELECT i0 + 100, i1, v * 2 FROM q")
+@register(f"WITH {LINES} SELECT i0, i1, v FROM q UNION ALL SELECT i0 + n, i1, v * 2 FROM q, s")
 def concatenate(spark, sf_dir):
     g = _lines(spark, sf_dir)
     return grid.concatenate([g, g * 2.0], 0).df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, CAST(k AS BIGINT) AS i2, v + k AS v FROM q, (SELECT unnest(range(2)) AS k)")
+@register(f"WITH {LINES} SELECT i0, i1, k AS i2, v + k AS v FROM q, (SELECT unnest(range(2)) AS k)")
 def stack(spark, sf_dir):
     g = _lines(spark, sf_dir)
     return grid.stack([g, g + 1.0], -1).df
 
 
-@register(f"WITH {LINES}, t AS (SELECT * FROM (VALUES (0, 3), (1, 0), (2, 3)) x(n, p)) SELECT CAST(i0 AS BIGINT) AS i0, CAST(n AS BIGINT) AS i1, v FROM q JOIN t ON i1 = p")
+@register(f"WITH {LINES} SELECT i0, CAST(t.k AS BIGINT) AS i1, v FROM q, s, (VALUES (0, 3), (1, 0), (2, -1)) t(k, p) WHERE i1 = CASE WHEN p < 0 THEN m + p ELSE p END")
 def take_axis(spark, sf_dir):
     return _lines(spark, sf_dir).take([3, 0, -1], 1).df
 
 
-@register(f"WITH {LINES} SELECT CAST((i0 - 90) // 3 AS BIGINT) AS i0, CAST((3 - i1) // 2 AS BIGINT) AS i1, v FROM q WHERE i0 >= 90 AND (i0 - 90) % 3 = 0 AND (3 - i1) % 2 = 0")
+@register(f"WITH {LINES} SELECT (i0 - 1) // 3 AS i0, (m - 1 - i1) // 2 AS i1, v FROM q, s WHERE i0 >= 1 AND (i0 - 1) % 3 = 0 AND (m - 1 - i1) % 2 = 0")
 def slice_steps(spark, sf_dir):
-    return _lines(spark, sf_dir)[90:100:3, ::-2].df
+    return _lines(spark, sf_dir)[1::3, ::-2].df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(row_number() OVER (PARTITION BY i0 ORDER BY v) - 1 AS BIGINT) AS i1, v FROM q")
+@register(f"WITH {LINES} SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v) - 1 AS i1, v FROM q")
 def sort_axis(spark, sf_dir):
     return _lines(spark, sf_dir).sort(1).df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, sum(v) OVER (PARTITION BY i1 ORDER BY i0) AS v FROM q")
+@register(f"WITH {LINES} SELECT i0, i1, sum(v) OVER (PARTITION BY i0 ORDER BY i1) AS v FROM q")
 def cumsum_axis(spark, sf_dir):
-    return _lines(spark, sf_dir).cumsum(0).df
+    return _lines(spark, sf_dir).cumsum(1).df
 
 
-@register(f"WITH {LINES}, m AS (SELECT i0, max(v) AS hi FROM q GROUP BY 1) SELECT CAST(q.i0 AS BIGINT) AS i0, CAST(min(i1) AS BIGINT) AS v FROM q JOIN m ON q.i0 = m.i0 AND v = hi GROUP BY 1")
+@register(f"WITH {LINES}, h AS (SELECT i0, max(v) AS hi FROM q GROUP BY 1) SELECT q.i0, min(i1) AS v FROM q JOIN h ON q.i0 = h.i0 AND v = hi GROUP BY 1")
 def argmax_axis(spark, sf_dir):
     return _lines(spark, sf_dir).argmax(1).df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1 FROM q WHERE v <> 0")
+@register(f"WITH {LINES} SELECT i0, i1 FROM q WHERE v <> 0")
 def nonzero(spark, sf_dir):
     return _lines(spark, sf_dir).nonzero()
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, CASE WHEN v > 20 THEN v ELSE -v END AS v FROM q")
+@register(f"WITH {LINES} SELECT i0, i1, CASE WHEN v > 20 THEN v ELSE -v END AS v FROM q")
 def where_grids(spark, sf_dir):
     g = _lines(spark, sf_dir)
     return grid.where(g.map(lambda v: v > 20), g, -g).df
 
 
-@register(f"WITH {LINES} SELECT CAST(i0 AS BIGINT) AS i0, (max(v) - min(v)) + sum(v) AS v FROM q GROUP BY 1")
+@register(f"WITH {LINES} SELECT i0, (max(v) - min(v)) + sum(v) AS v FROM q GROUP BY 1")
 def apply_along_axis(spark, sf_dir):
     return _lines(spark, sf_dir).apply_along_axis(lambda a: F.array_max(a) - F.array_min(a) + F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 1).df
 
@@ -130,15 +134,14 @@ def rollup_over_axes(spark, sf_dir):
 
 
 @register("""
-WITH RECURSIVE n AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part WHERE p_partkey < 300)
-SELECT k, k > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 300) d(x) WHERE x < k AND k % x = 0) AS prime, CAST((SELECT coalesce(sum(x), 0) FROM range(1, 300) d(x) WHERE x <= k AND k % x = 0) AS BIGINT) AS sigma1,
-  CASE WHEN k = 0 THEN NULL ELSE CAST((k % 2 = 0)::INT + (k % 4 = 0)::INT + (k % 8 = 0)::INT + (k % 16 = 0)::INT + (k % 32 = 0)::INT + (k % 64 = 0)::INT + (k % 128 = 0)::INT + (k % 256 = 0)::INT AS INT) END AS v2
-FROM n
+WITH n AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), d AS (SELECT k, x FROM n, unnest(range(1, greatest(CAST(ceil(sqrt(k)) AS BIGINT), 1) + 1)) t(x) WHERE x * x <= k AND k % x = 0),
+s AS (SELECT k, count(*) AS c, min(x) FILTER (WHERE x > 1) AS small, sum(CASE WHEN x * x = k THEN x ELSE x + k // x END) AS total FROM d GROUP BY 1)
+SELECT n.k, n.k > 1 AND small IS NULL AS prime, CAST(coalesce(total, 0) AS BIGINT) AS sigma1, CASE WHEN n.k = 0 THEN NULL ELSE CAST(bit_count((n.k & -n.k) - 1) AS INT) END AS v2
+FROM n LEFT JOIN s ON n.k = s.k
 """)
 def number_theory(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = read(spark, sf_dir, "part").filter("p_partkey < 300")
-    return rows.select(k.alias("k"), numbers.is_prime(k).alias("prime"), F.when(k > 0, numbers.sigma(1, k)).otherwise(0).alias("sigma1"), numbers.valuation(k, 2).alias("v2"))
+    return read(spark, sf_dir, "part").select(k.alias("k"), numbers.is_prime(k).alias("prime"), F.when(k > 0, numbers.sigma(1, k)).otherwise(0).alias("sigma1"), numbers.valuation(k, 2).alias("v2"))
 
 
 @register("SELECT CAST(n AS BIGINT) AS n, CAST(sum(d * d) AS BIGINT) AS v FROM range(1, 401) a(n), range(1, 401) b(d) WHERE n % d = 0 GROUP BY 1")
@@ -160,12 +163,12 @@ def poset_meets(spark, sf_dir):
 
 
 @register("""
-WITH p AS (SELECT vec_id, embedding FROM embeddings WHERE label < 3), e AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) ** 2))) AS d FROM p a JOIN p b ON a.vec_id < b.vec_id),
+WITH p AS (SELECT vec_id, embedding FROM embeddings), e AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) ** 2))) AS d FROM p a JOIN p b ON a.vec_id < b.vec_id),
 n AS (SELECT * FROM e WHERE d <= 0.9)
 SELECT 0 AS dim, count(*) AS n FROM p UNION ALL SELECT 1, count(*) FROM n UNION ALL SELECT 2, count(*) FROM n x JOIN n y ON x.b = y.a JOIN n z ON z.a = x.a AND z.b = y.b
 """)
 def vietoris_rips(spark, sf_dir):
-    points = read(spark, sf_dir, "embeddings").filter("label < 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     counts = simplices.vietoris_rips(points, 0.9).groupBy("dim").agg(F.count("*").alias("n"))
     return spark.createDataFrame([(0,), (1,), (2,)], "dim int").join(counts, "dim", "left").select("dim", F.coalesce("n", F.lit(0)).alias("n"))
 
