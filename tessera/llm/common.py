@@ -129,21 +129,29 @@ def rolling(h: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
     return mix64(acc)
 
 
-def working_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that driver and executors share.
+_JOB = f"job-{uuid.uuid4().hex}"
 
-    The folder is ``spark.checkpoint.dir``; where it is unset (a local session,
-    as in tests) a folder of this session under the warehouse is set instead.
-    """
+
+def _root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a local session (as in tests) may leave it
+    unset, and then gets a folder under its warehouse."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = context._jsc.sc().getCheckpointDir()
-        root = set_dir.get() if set_dir.isDefined() else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(root)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
+        if set_dir.isDefined():
+            return set_dir.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in this process's folder under the one that driver and executors share."""
+    return f"{_root(spark)}/{_JOB}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -151,7 +159,28 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     lost executor takes nothing with it."""
     path = working_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*steps: DataFrame | None) -> None:
+    """Deletes settled steps that nothing reads any more."""
+    for df in steps:
+        if (path := getattr(df, "settled_at", None)) is not None:
+            _delete(df.sparkSession, path)
+
+
+def remove_working_folder(spark: SparkSession) -> None:
+    """Deletes all that this process has settled; DataFrames that the operators
+    returned can't be read afterwards.  For the end of a job."""
+    _delete(spark, f"{_root(spark)}/{_JOB}")
 
 
 def text_key(text_col: str) -> Column:

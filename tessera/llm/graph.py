@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settled
+from tessera.llm.common import discard, settled
 
 MAX_ROUNDS = 60
 
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "components-0")
     mark = None
     for nth in range(1, MAX_ROUNDS + 1):
-        pairs = settled(star(star(pairs, True), False), f"components-{nth}")
+        before, pairs = pairs, settled(star(star(pairs, True), False), f"components-{nth}")
+        discard(before)
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             break
