@@ -19,6 +19,7 @@ UNDETERMINED = "und"
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 CHUNK_CHARS = 1 << 18
+SLICE = 1 << 20
 TRAIN_PER_LANGUAGE = 600
 CENTROIDS = 4
 _SPACE = 32
@@ -39,48 +40,48 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed n-gram counts, rows x DIMENSIONS; number of letters per row).
 
     Texts are lower-cased; everything but letters becomes one space between
-    words, and n-grams of 1 to 3 characters include those spaces.  Rows whose
-    texts are very long are added up piece by piece."""
+    words, and n-grams of 1 to 3 characters include those spaces.  Texts are
+    handled in groups of about CHUNK_CHARS characters, each text in one piece."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     letters = np.zeros(len(texts), np.int64)
     group, size = [], 0
     for i, text in enumerate(texts):
-        # Pieces of a very long text overlap by nothing: the few n-grams across a cut don't matter to counts this large.
-        for at in range(0, max(len(text), 1), CHUNK_CHARS):
-            piece = text[at : at + CHUNK_CHARS]
-            group.append((i, piece))
-            size += len(piece)
-            if size >= CHUNK_CHARS:
-                _add(group, out, letters)
-                group, size = [], 0
+        group.append((i, text))
+        size += len(text)
+        if size >= CHUNK_CHARS:
+            _add(group, out, letters)
+            group, size = [], 0
     if group:
         _add(group, out, letters)
     return out, letters
 
 
 def _add(group: list[tuple[int, str]], out: np.ndarray, letters: np.ndarray) -> None:
-    codes = [np.frombuffer((" " + piece.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for _, piece in group]
-    row = np.repeat(np.array([i for i, _ in group]), [len(c) for c in codes])
-    code = np.concatenate(codes)
+    codes = [np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for _, text in group]
+    row = np.repeat(np.array([i for i, _ in group], np.int32), [len(c) for c in codes])
+    code = np.concatenate(codes) if len(codes) > 1 else codes[0]
     np.add.at(letters, [i for i, _ in group], np.add.reduceat(_has_letter()[code].astype(np.int64), np.concatenate([[0], np.cumsum([len(c) for c in codes])[:-1]])))
-    code = np.where(_letters()[code], code, _SPACE)
+    code = np.where(_letters()[code], code, np.uint32(_SPACE))
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != _SPACE) | (code[:-1] != _SPACE) | (row[1:] != row[:-1])
-    code, row = code[keep].astype(np.uint64), row[keep]
-    first, last = row[0], row[-1]
+    code, row = code[keep], row[keep]
+    first, last = int(row[0]), int(row[-1])
     flat = np.zeros((last - first + 1) * DIMENSIONS, np.int64)
-    for n in ORDERS:
-        m = len(code) - n + 1
-        if m <= 0:
-            continue
-        key = np.full(m, n, np.uint64)
-        for k in range(n):
-            key = key * np.uint64(0x1000193) + code[k : k + m]
-        within = row[:m] == row[n - 1 :]
-        if n == 1:
-            within &= code != _SPACE
-        slot = (mix64(key) & np.uint64(DIMENSIONS - 1)).astype(np.int64) + (row[:m] - first) * DIMENSIONS
-        flat += np.bincount(slot[within], minlength=len(flat))
+    # Slices share their last characters with the next one, so that memory is bounded and no n-gram is lost.
+    for lo in range(0, len(code), SLICE):
+        for n in ORDERS:
+            part, rows = code[lo : lo + SLICE + n - 1].astype(np.uint64), row[lo : lo + SLICE + n - 1]
+            m = len(part) - n + 1
+            if m <= 0:
+                continue
+            key = np.full(m, n, np.uint64)
+            for k in range(n):
+                key = key * np.uint64(0x1000193) + part[k : k + m]
+            within = rows[:m] == rows[n - 1 :]
+            if n == 1:
+                within &= part != _SPACE
+            slot = (mix64(key) & np.uint64(DIMENSIONS - 1)).astype(np.int64) + (rows[:m].astype(np.int64) - first) * DIMENSIONS
+            flat += np.bincount(slot[within], minlength=len(flat))
     out[first : last + 1] += flat.reshape(-1, DIMENSIONS)
 
 
@@ -152,7 +153,8 @@ def fit(
 ) -> LanguageModel:
     """Fits on at most ``per_language`` rows of each language: those with the
     smallest hashed ids, whole texts.  n-grams are counted on the executors;
-    the driver gets the sample's count vectors, a few KB each.
+    the driver gets the sample's count vectors: at most 24 KB a row, so 600 rows
+    are at most 15 MB a language, whatever the size of the corpus.
 
     The sample gives document frequencies, ``centroids`` spherical k-means
     centroids per language, and for each language and length the cosine below
