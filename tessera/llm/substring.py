@@ -20,7 +20,6 @@ from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix6
 from tessera.llm.repeats import counted, covered, keyed, ranges_of, repeated_spans, with_spans
 
 WINDOW = 35
-ROUNDS = 3
 _U = np.uint64
 
 
@@ -67,7 +66,7 @@ def compress_pairs(level: Level, nth: int) -> Level:
     that could have joined it."""
     if len(level.name) < 2:
         return level
-    side = (mix64(level.name ^ hash_table(nth + 1, 41)[nth]) & _U(1)).astype(bool)  # True: left
+    side = (mix64(level.name ^ hash_table(64, 41)[nth % 64]) & _U(1)).astype(bool)  # True: left
     pair = side[:-1] & ~side[1:] & (level.doc[1:] == level.doc[:-1])
     second = np.concatenate([[False], pair])
     heads = np.concatenate([pair, [False]])
@@ -81,17 +80,28 @@ def compress_pairs(level: Level, nth: int) -> Level:
     return _merged(level, first, np.where(paired, joined, level.name[first]), lo, hi)
 
 
-def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
-    """The symbol strings after 0 to ``rounds`` rounds; words are numbered over all rows."""
+def recompress(words: np.ndarray, doc: np.ndarray, size: int) -> list[Level]:
+    """The symbol strings round by round, up to the last one with a symbol that
+    some run of ``size`` words of a document decides; words are numbered over all rows.
+
+    A window that decides a symbol also decides the symbols it is made of, so the
+    rounds that a window sees depend on its own words alone, not on what else is
+    in the batch.  In each round a symbol inside a document takes in a neighbour or
+    depends on one more, so the rounds end."""
     at = np.arange(len(words))
-    levels = [Level(words, doc, at, at + 1, at, at + 1)]
-    for nth in range(rounds):
-        level = compress_pairs(compress_runs(levels[-1], nth), nth)
+    level = Level(words, doc, at, at + 1, at, at + 1)
+    levels = [level]
+    begin, end = np.searchsorted(doc, doc, side="left"), np.searchsorted(doc, doc, side="right")
+    nth = 0
+    while True:
+        level = compress_pairs(compress_runs(level, nth), nth)
         # A symbol's deciding words never shrink from its own: keep them in order for searching.
         level.lo = np.minimum.accumulate(level.lo[::-1])[::-1]
         level.hi = np.maximum.accumulate(level.hi)
+        if not ((level.hi - level.lo <= size) & (level.lo >= begin[level.start]) & (level.hi <= end[level.start])).any():
+            return levels
         levels.append(level)
-    return levels
+        nth += 1
 
 
 def window_anchors(levels: list[Level], n_windows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +154,7 @@ def _anchors(size: int):
                 m = len(words) - size + 1
                 if m <= 0:
                     continue
-                name, depth, place = window_anchors(recompress(words, doc), m, size)
+                name, depth, place = window_anchors(recompress(words, doc, size), m, size)
                 inside = doc[:m] == doc[size - 1 :]
                 at, n = ranges_of(np.where(inside, place, -1), doc[:m])
                 if not len(at):
@@ -241,8 +251,8 @@ def remove_repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "do
     the same text or another, is removed; kept words are joined by one space
     (``kept`` is null without ``with_text``).
 
-    Words are ``[^\\x20\\x09-\\x0D]+``.  After three rounds of recompression every
-    window is filed under the least high-level symbol that its own words decide
+    Words are ``[^\\x20\\x09-\\x0D]+``.  After the rounds of recompression (as many as
+    windows of this size decide symbols of) every window is filed under the least high-level symbol that its own words decide
     (or one of a lower level, down to the words, if no higher one is decided).
     Equal windows have equal symbols at equal places, so windows whose symbol
     occurs once are no repeats.  Ranges of windows around a shared symbol that

@@ -92,12 +92,12 @@ def test_recompression_names_depend_on_content_alone():
         words = np.concatenate([rnd.integers(1, 6, 50).astype(np.uint64), inner, rnd.integers(1, 6, 70).astype(np.uint64)])
         at = 50
         got = set()
-        for d, level in enumerate(substring.recompress(words, np.zeros(len(words), np.int64))):
+        for d, level in enumerate(substring.recompress(words, np.zeros(len(words), np.int64), 35)):
             for n, s, e, lo, hi in zip(level.name.tolist(), level.start, level.end, level.lo, level.hi, strict=True):
-                if lo >= at and hi <= at + 300:
+                if lo >= at and hi <= at + 300 and hi - lo <= 35:
                     got.add((d, n, int(s) - at, int(e) - at))
         names.append(got)
-    assert names[0] == names[1] and len({d for d, *_ in names[0]}) == substring.ROUNDS + 1
+    assert names[0] == names[1] and len({d for d, *_ in names[0]}) >= 4
 
 
 def test_suffix_ranks_are_a_suffix_order():
@@ -108,3 +108,14 @@ def test_suffix_ranks_are_a_suffix_order():
         ranks = suffixes.suffix_ranks(np.unique(raw, return_inverse=True)[1] + 1, 1, 10**6)
         order = sorted(range(n), key=lambda i: raw[i:].tolist())
         assert [ranks[i] for i in order] == list(range(1, n + 1))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 35])
+def test_rounds_end_on_any_batch(size):
+    rnd = np.random.default_rng(size)
+    for _ in range(60):
+        lengths = rnd.integers(0, 40, rnd.integers(1, 6))
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        if len(doc):
+            levels = substring.recompress(rnd.integers(1, rnd.integers(2, 9), len(doc)).astype(np.uint64), doc, size)
+            assert len(levels) <= size + 1
