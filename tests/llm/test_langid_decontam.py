@@ -65,6 +65,16 @@ def test_counts_of_pieces_add_up(monkeypatch):
         assert (alone[0] == row).all() and m[0] == n == sum(c.isalpha() for c in t)
 
 
+def test_counts_of_a_long_text_in_slices(monkeypatch):
+    rnd = random.Random(4)
+    texts = [sentence(rnd, "zz", 3000) + "Σ ΣΑΣ", "x", sentence(rnd, "xx", 500)]
+    whole, letters = langid.counts(texts)
+    for size in (7, 100, 1001):
+        monkeypatch.setattr(langid, "SLICE", size)
+        again, n = langid.counts(texts)
+        assert (again == whole).all() and (n == letters).all()
+
+
 # ---- decontamination
 
 
@@ -88,24 +98,42 @@ def leak_case():
     return docs + [(100, None), (101, ""), (102, text(60_000) + " " + items[0][1])], items, planted | {(102, 0)}
 
 
-@pytest.mark.parametrize("min_score,min_overlap", [(0.6, 0.8), (0.3, 0.4)])
-def test_leaks_against_brute_force(spark, min_score, min_overlap, monkeypatch):
-    monkeypatch.setattr(decontam, "SLAB_ITEMS", 1000)
+@pytest.mark.parametrize("min_score,min_overlap,slab", [(0.6, 0.8, 1000), (0.3, 0.4, 7), (0.6, 0.8, 7)])
+def test_leaks_against_brute_force(spark, min_score, min_overlap, slab, monkeypatch):
+    monkeypatch.setattr(decontam, "SLAB_ITEMS", slab)
+    monkeypatch.setattr(decontam, "PASS_BYTES", 30_000)
     docs, items, planted = leak_case()
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.id, r.item_id) for r in decontam.find_leaks(df, bench, min_score, min_overlap).collect()}
-    assert got == brute_leaks(docs, items, min_score, min_overlap)
-    assert planted <= got
-    if min_score == 0.6:
-        assert got == planted
-
-
-def test_slabs_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "SLAB_ITEMS", 7)
-    docs, items, planted = leak_case()
+    got = {(r.id, r.item_id): r.score for r in decontam.find_leaks(df, bench, min_score, min_overlap).collect()}
+    want = brute_leaks(docs, items, min_score, min_overlap)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert planted <= got.keys()
+
+
+def test_short_and_changed_items(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (1, 2, 4, 30)]
+    changed = [word() if k % 7 == 6 else w for k, w in enumerate(items[3])]
+    fill = [word() for _ in range(50)]
+    docs = [(0, items[2]), (1, fill + items[2] + fill), (2, fill + items[1]), (3, items[0]), (4, fill + items[0]), (5, fill + changed), (6, [items[2][0], *fill, *items[2][1:]]), (7, fill)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    bench = [(k, " ".join(w)) for k, w in enumerate(items)]
+    got = {(r.id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(0, 2), (1, 2), (2, 1), (3, 0), (5, 3)} == set(brute_leaks(docs, bench, 0.6, 0.8))
+
+
+def test_question_and_answer_columns(spark):
+    bench = spark.createDataFrame([("x", "what is the tallest hill of the eastern plain", "mount ararel"), ("y", None, None)], "item_id string, q string, a string")
+    docs = spark.createDataFrame([("1", "What is the tallest hill of the eastern plain? Mount Ararel."), ("2", "What is the tallest hill of the eastern plain?"), (None, None)], "doc_id string, text string")
+    got = decontam.find_leaks(docs, bench, question_col="q", answer_col="a").collect()
+    assert [(r.id, r.item_id, r.answer_overlap) for r in got] == [("1", "x", 1.0)]
+
+
+def test_empty_tables(spark):
+    docs, items, _ = leak_case()
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert planted <= {(r.id, r.item_id) for r in decontam.find_leaks(df, bench).collect()}
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
     assert decontam.find_leaks(df.limit(0), bench).count() == 0
 
