@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix64, rolling, settled, text_buffers, text_key, with_text_key, word_spans
+from tessera.llm.common import CHUNK_BYTES, chunks, discard, hash_table, hash_words, mix64, rolling, settled, text_buffers, text_key, with_text_key, word_spans
 from tessera.llm.graph import components
 
 SHINGLE = 5
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     At similarity 0.8 a pair shares one of 16 bands of 4 with probability
     1-(1-0.8**4)**16 = 0.9998.  Texts without words (null, empty) belong to no
     class but their own; a text under five words is one shingle.  Repeated rows
-    share a decision; rows that repeat an id with another text are told apart.  Ids must be integers; a null id
+    share a decision; rows that repeat an id with another text are told apart.  A null id
     stands alone.  An empty table gives an empty result.
     """
     return _decided(docs, threshold, bands, rows, id_col, text_col, weighting).drop("h")
@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", weighting: str = "set") -> DataFrame:
     """The rows of ``near_duplicates`` with ``h``, the key of the row's text."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
-    signed = settled(source.mapInArrow(_band_keys(bands, rows, weighting), "id long, h long, filled boolean, same long, keys array<long>"), "near-signatures")
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
+    signed = settled(source.mapInArrow(_band_keys(bands, rows, weighting), f"id {kind}, h long, filled boolean, same long, keys array<long>"), "near-signatures")
     solid = signed.filter("filled AND id IS NOT NULL")
     members = settled(solid.groupBy(F.col("same").alias("member")).agg(F.min(F.struct("id", "h")).alias("row"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "near-members")
     placed = members.select("member", F.posexplode("keys").alias("band", "key")).select("member", F.xxhash64("band", "key").alias("bucket"))
@@ -218,6 +219,8 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = settled(found, f"near-candidates-{nth}")
+        if nth:
+            discard(field)
         if found.isEmpty():
             break
         verified = settled(_verified(sets, found, threshold), f"near-links-{nth}")
@@ -225,7 +228,8 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
         if verified.isEmpty():
             break
         links = verified if links is None else links.unionByName(verified)
-        classes = components(links)
+        discard(classes)
+        classes = settled(components(links), f"near-classes-{nth}")
     # Leaders only shrink the work: what they left open is compared without exception.
     field = placed.withColumn("root", F.col("member")) if classes is None else _open(placed, classes)
     rest = _unmet(sets, settled(field.select("member", "root").distinct(), "near-unmet"), threshold)
@@ -246,7 +250,7 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     first = named.groupBy("root").agg(F.min("row").alias("stays"))
     named = named.join(first, "root").select("member", "stays", "n_links")
     inside = F.col("filled") & F.col("id").isNotNull()
-    alone = F.concat(F.lit("row "), F.col("id"))
+    alone = F.concat(F.lit("row "), F.col("id").cast("string"))
     rows_ = signed.select("id", "h", F.when(inside, F.col("same").cast("string")).otherwise(F.coalesce(alone, F.lit("row"))).alias("key"))
     out = rows_.join(named.withColumn("key", F.col("member").cast("string")), "key", "left")
     return out.select("id", "h", F.coalesce("stays.id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("stays").isNull() | ((F.col("stays.id") == F.col("id")) & (F.col("stays.h") == F.col("h")))).alias("kept"))

@@ -115,3 +115,10 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     assert out == {n: find(n) for n in root if n != 300}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", text), ("a", text + " more"), ("c", "other words here"), (None, text), ("d", "")]
+    out = {(r.id, r.class_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out == {("b", "a", False), ("a", "a", True), ("c", "c", True), (None, None, True), ("d", "d", True)}
