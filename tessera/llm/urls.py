@@ -51,47 +51,66 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return found
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.9, min_rows: int = 20, max_items: int = 3) -> list[tuple[frozenset[str], str, float, float]]:
+def _frequent(labelled: DataFrame, least: float) -> dict[str, str]:
+    """Each token of at least ``least`` rows, and the first of the tokens that
+    stand in exactly the same rows: those count as one item, so that tokens which
+    always come together don't multiply the combinations.  Rows are told apart by
+    their tokens; equal sums of their hashes (and equal counts) mean equal rows."""
+    row = F.xxhash64(F.array_sort("tokens")).cast("decimal(38,0)")
+    counted = labelled.select(F.explode("tokens").alias("token"), row.alias("row")).groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows")).filter(F.col("n") >= least)
+    first: dict[tuple, str] = {}
+    rows = sorted(counted.collect(), key=lambda r: r.token)  # bounded by the support: tokens per row / min_support
+    return {r.token: first.setdefault((r.n, r.rows), r.token) for r in rows}
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.9, min_rows: int = 20) -> list[tuple[frozenset[str], str, float, float]]:
     """Rules ``(tokens, label, confidence, support)`` mined by FP-growth from
     rows ``(tokens array<string>, label string)``; all labelled rows are read.
 
     Tokens below the least support (``min_support`` of the rows, and
-    ``min_rows`` rows) are left out before mining.  Kept are rules of at most
-    ``max_items`` tokens whose confidence is at least ``min_confidence`` and
-    above that of every shorter kept rule for the same label inside them; a
-    body that never occurs without one more token (it isn't closed) says
-    nothing about rows without that token and gives no rule.  The rules
-    that reach the driver are bounded by the support: at most 1/min_support
-    tokens per row position can be frequent, whatever the number of rows.
+    ``min_rows`` rows) are left out before mining.  Kept are rules of any length
+    whose confidence is at least ``min_confidence`` and above that of every
+    shorter rule for the same label inside them; a body that never occurs
+    without one more token (it isn't closed) says nothing about rows without
+    that token and gives no rule of its own.  What reaches the driver is
+    bounded by the support, whatever the number of rows: at most
+    1/min_support tokens per token of a row, and combinations of them.
     """
-    labelled = labelled.filter("label IS NOT NULL AND tokens IS NOT NULL")
+    labelled = labelled.filter("label IS NOT NULL AND tokens IS NOT NULL").select(F.array_distinct("tokens").alias("tokens"), "label")
     total = labelled.count()
     if total == 0:
         return []
     floor = max(min_support, min(1.0, min_rows / total))
-    least = F.lit(floor * total)
-    frequent = [r.token for r in labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("token").collect()]
-    # Only combinations matter: rows of equal frequent tokens are one transaction each still,
-    # as support counts rows.
-    known = F.array(*[F.lit(t) for t in sorted(frequent)]) if frequent else F.array().cast("array<string>")
-    items = labelled.select(F.concat(F.array_intersect("tokens", known), F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
+    item = _frequent(labelled, floor * total)
+    together: dict[str, set[str]] = {}
+    for token, own in item.items():
+        together.setdefault(own, set()).add(token)
+
+    @F.arrow_udf("array<string>")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([sorted({item[t] for t in row if t in item}) for row in batch.to_pylist()], pa.list_(pa.string()))
+
+    items = labelled.select(F.concat(known("tokens"), F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=min_confidence, numPartitions=items.sparkSession.sparkContext.defaultParallelism).fit(items)
-    sets = model.freqItemsets.filter(F.size("items") <= max_items + 2).collect()
-    count = {frozenset(r["items"]): r["freq"] for r in sets}
+    count = {frozenset(r["items"]): r["freq"] for r in model.freqItemsets.collect()}
     closed = set(count)
     for whole in count:
         closed -= {whole - {i} for i in whole if not i.startswith(LABEL) and count.get(whole - {i}) == count[whole]}
     rules: dict[tuple[str, frozenset], tuple[float, float]] = {}
+    inside: dict[tuple[str, frozenset], float] = {}  # the best confidence of a rule in any part of a body
     for whole in sorted(count, key=lambda s: (len(s), sorted(s))):
         labels = [i for i in whole if i.startswith(LABEL)]
         body = whole - set(labels)
-        if len(labels) != 1 or not body or body not in closed or len(body) > max_items:
-            continue
-        confidence, label = count[whole] / count[body], labels[0][len(LABEL) :]
-        if confidence < min_confidence or any((label, body - {i}) in rules and rules[label, body - {i}][0] >= confidence for i in body):
+        if len(labels) != 1 or not body:
             continue
-        rules[label, body] = (confidence, count[whole] / total)
-    return [(body, label, c, s) for (label, body), (c, s) in rules.items()]
+        label, confidence = labels[0][len(LABEL) :], count[whole] / count[body]
+        below = max((inside.get((label, body - {i}), 0.0) for i in body), default=0.0)
+        if body in closed and confidence >= min_confidence and confidence > below:
+            rules[label, body] = (confidence, count[whole] / total)
+            below = confidence
+        inside[label, body] = below
+    return [(frozenset().union(*(together[i] for i in body)), label, c, s) for (label, body), (c, s) in rules.items()]
 
 
 def match_rules(tokens: Column, rules: list[tuple[frozenset[str], str, float, float]]) -> Column:

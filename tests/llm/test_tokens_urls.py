@@ -85,3 +85,15 @@ def test_labels_of_another_table(spark):
     labels = spark.createDataFrame([(f"http://spam{k}.bad.com/p{k}/", "block") for k in range(40)] + [(f"http://ok{k}.good.com/p{k}/", "allow") for k in range(40)], "url string, label string")
     out = urls.judge_urls(pages(spark, ["http://spam99.bad.com/1", "http://ok99.good.com/1", "http://new.com/1"]), [], labels=labels).collect()
     assert [r.verdict for r in sorted(out, key=lambda r: r.id)] == ["block", "allow", "allow"]
+
+
+def test_tokens_that_come_together_and_long_rules(spark):
+    rnd = random.Random(9)
+    together = [f"t{k:02}" for k in range(30)]  # 2**30 combinations, one item
+    rows = [(["site", *together], "block")] * 60 + [(["site", *rnd.sample("abcdef", 3)], "allow") for _ in range(200)]
+    rows += [(["site", *"pqrstu"], "block")] * 40 + [(["site", *rnd.sample("pqrstu", 5)], "allow") for _ in range(200)]
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    rules = {(body, label) for body, label, *_ in urls.mine_rules(df, min_support=0.02, min_confidence=0.9, min_rows=5)}
+    assert (frozenset(["site", *together]), "block") in rules
+    assert (frozenset(["site", *"pqrstu"]), "block") in rules  # six tokens and no fewer
+    assert urls.mine_rules(df.limit(0)) == []
