@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, settled, text_key, with_text_key
+from tessera.llm.common import SPACES, discard, settled, text_key, with_text_key
 
-PREFIX_BYTES = 64
+PREFIX_CHARS = 64
+# Key tables up to this many rows (some 32 bytes each) go to all tasks; larger ones are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
-def _keys(digest: bool):
-    """Arrow batches of (id, text, key of the text) to narrow rows: lengths, prefix hash and,
-    if asked for, the full digest of the normalised text."""
+def _side(df: DataFrame) -> DataFrame:
+    """A settled table of keys, as a side of a join that fits its counted size."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            size, prefix, full = [], [], []
-            for value in texts.cast(pa.binary()):
-                kept = value.as_py().translate(None, SPACES)
-                size.append(len(kept))
-                head = hashlib.blake2b(kept[:PREFIX_BYTES], digest_size=8).digest()
-                prefix.append(int.from_bytes(head, "little", signed=True))
-                full.append(hashlib.sha256(kept).hexdigest() if digest else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pc.utf8_length(texts).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.int64()), pa.array(full, pa.string())],
-                names=["id", "h", "n_chars", "n_bytes", "prefix", "digest"],
-            )
 
-    return run
+def _normalised(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), SPACES.decode(), "")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -43,11 +26,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after deleting every space, tab, LF, VT, FF
     and CR.  Rows are refined in three rounds: by normalised length, then by a
-    hash of the first 64 normalised bytes, then by SHA-256 of the whole text;
-    only rows that share their key with another row enter the next round, and
-    only survivors of the second have their content read again.  With
-    ``digest_all`` every row's digest is taken in the first pass (for callers
-    that report it), and the rounds then spare only the exchange.
+    hash of the first 64 normalised characters, then by SHA-256 of the whole
+    text; only rows that share their key with another row enter the next round,
+    and only survivors of the second have their content read again.  With
+    ``digest_all`` (for callers that report every digest) the digests are
+    written in the first pass; the rounds still decide who is compared.
+    All of it is built-in functions.
 
     In a group the row with the most code points in its original text stays,
     then the smallest id (null ids first).  A null text counts as empty; empty
@@ -62,34 +46,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _decided(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
     """The rows of ``exact_dedup`` with ``h`` and ``keep_h``, the text keys of the
     row and of the one that stays: ids may be null or repeat with other texts."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
-    schema = f"id {kind}, h long, n_chars long, n_bytes long, prefix long, digest string"
-    rows = settled(source.mapInArrow(_keys(digest_all), schema), "exact-keys")
-
-    same_size = rows.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", F.lit(True).alias("round_1"))
-    rows = rows.join(same_size, "n_bytes", "left")
-    same_head = rows.filter("round_1").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", "prefix", F.lit(True).alias("round_2"))
-    rows = rows.join(same_head, ["n_bytes", "prefix"], "left")
-    if not digest_all:
-        wanted = rows.filter("round_2").select("id").distinct()
-        reread = source.join(wanted, source["id"].eqNullSafe(wanted["id"]), "left_semi").mapInArrow(_keys(True), schema)
-        full = reread.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("n_bytes").alias("_n"), F.col("prefix").alias("_p"), F.col("digest").alias("_d")).distinct()
-        at = rows["id"].eqNullSafe(full["_id"]) & (rows["h"] == full["_h"]) & (rows["n_bytes"] == full["_n"]) & (rows["prefix"] == full["_p"])
-        rows = rows.drop("digest").join(full, at, "left").withColumnRenamed("_d", "digest")
-    # Rows that dropped out get a key of their own, so that they don't meet in one task as nulls would.
-    alone = F.concat(F.lit("row "), F.hex(F.xxhash64("id")))
-    rows = rows.withColumn("group_key", F.when(F.col("round_2"), F.col("digest")).otherwise(alone))
-    # Partial aggregates: a group of any size reaches its reducer as a row per task.
-    groups = (
-        rows.filter("round_2")
-        .groupBy("group_key")
-        .agg(F.count("*").alias("n"), F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("i"), F.col("h").alias("h"))).alias("best"))
-        .filter("n > 1")
-        .select("group_key", "n", F.col("best.i").alias("best"), F.col("best.h").alias("best_h"))
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("h"), F.length(text).cast("long").alias("n_chars"), _normalised(F.col(text_col)).alias("text"))
+    source = source.select("id", "h", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("prefix"), "text")
+    digest = F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")
+    narrow = ["id", "h", "n_chars", "n_bytes", "prefix"]
+    rows = settled(source.select(*narrow, digest) if digest_all else source.select(*narrow, F.lit(None).cast("string").alias("digest")), "exact-rows")
+
+    # Partial counts: a length or prefix of any share of the rows is a row per task in the exchange.
+    lengths = settled(rows.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes"), "exact-lengths")
+    heads = rows.join(_side(lengths), "n_bytes", "left_semi").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    heads = settled(heads.select("n_bytes", "prefix"), "exact-heads")
+    side = _side(heads)
+    discard(lengths)
+    if digest_all:
+        alive = rows.join(side, ["n_bytes", "prefix"], "left_semi").select("id", "h", "n_chars", "digest")
+    else:
+        alive = source.join(side, ["n_bytes", "prefix"], "left_semi").select("id", "h", "n_chars", digest)
+        alive = settled(alive, "exact-digests")
+    alone = rows.join(side, ["n_bytes", "prefix"], "left_anti").select("id", "h", F.col("h").alias("keep_h"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+
+    # Groups are written before the join, so that Spark deals out both of its sides anew and can split a large group.
+    groups = alive.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id").alias("i"), F.col("h").alias("h"))).alias("best")).filter("n > 1")
+    groups = settled(groups.select("digest", "n", F.col("best.i").alias("best"), F.col("best.h").alias("best_h")), "exact-groups")
     grouped = F.col("n").isNotNull()
-    return rows.join(groups, "group_key", "left").select(
+    met = alive.join(_side(groups), "digest", "left").select(
         "id",
         "h",
         F.when(grouped, F.col("best_h")).otherwise(F.col("h")).alias("keep_h"),
@@ -98,6 +79,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> D
         (~grouped | F.col("id").eqNullSafe(F.col("best"))).alias("kept"),
         "digest",
     )
+    return met.unionByName(alone)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
