@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, exact, langid, mixing, neardup, substring, suffixes, tokens, urls, warc
+from tessera.llm.common import working_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +74,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_warc(table(spark, sf_dir, "pages"))
-    # One path per archive of about 16 MB; as many as any listing of the folder gives.
-    return warc.page_records(warc.read_warc(spark, [r.archive for r in manifest.select("archive").collect()]))
+    folder = working_folder(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.page_records(warc.read_manifest(manifest, folder))
 
 
 QUERIES = {

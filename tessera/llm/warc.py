@@ -6,7 +6,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
 import zstandard
@@ -28,6 +28,7 @@ DICTIONARY_BYTES = 16 << 10
 DICTIONARY_SAMPLES = 256
 SAMPLE_BYTES = 8 << 10
 STEP = 32 << 10
+MAX_STRAYS = 1000
 
 RECORD_SCHEMA = "archive string, position long, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload binary"
 
@@ -60,12 +61,20 @@ def _header(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _escaped(url: str) -> str:
+    """The url on one header line: ``%`` and what is neither printable ASCII nor a
+    space inside are percent-encoded, so that ``unquote`` gives the url back."""
+    keep = "".join(map(chr, range(33, 127))).replace("%", "")
+    edge = len(url) - len(url.strip(" "))
+    return quote(url, safe=keep if edge else keep + " ")
+
+
 def record_bytes(page_id, url: str | None, digest: str, payload: bytes | None, refers_to=None) -> bytes:
     """A response record, or with ``payload`` None a revisit record."""
     name = "" if page_id is None else str(page_id)
     fields = [("WARC-Type", "response" if payload is not None else "revisit"), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", DATE)]
     if url is not None:
-        fields.append(("WARC-Target-URI", quote(url, safe="".join(map(chr, range(33, 127))).replace("%", "") + " ")))
+        fields.append(("WARC-Target-URI", _escaped(url)))
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if payload is None:
@@ -102,7 +111,10 @@ def parse_record(data: bytes) -> dict:
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if fields["warc-type"] == "response" and digest and hashlib.sha256(payload).hexdigest() != digest:
         raise WarcError("payload digest differs")
-    return {"type": fields["warc-type"], "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "digest": digest or None, "payload": payload}
+    uri = fields.get("warc-target-uri")
+    if uri is not None and fields["warc-record-id"].startswith("<urn:page:"):  # written here, with its escapes
+        uri = unquote(uri, errors="surrogatepass")
+    return {"type": fields["warc-type"], "id": fields["warc-record-id"], "uri": uri, "refers_to": fields.get("warc-refers-to"), "digest": digest or None, "payload": payload}
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -236,7 +248,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_revisit: int = 1
 
 
 def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The records of ``.warc.zst`` archives or folders of them: ``archive,
+    """The records of ``.warc.zst`` archives (of at most 2 GB, Spark's bound for one
+    value; ``write_warc`` closes them at 16 MB) or folders of them: ``archive,
     position, record_type, record_id, uri, refers_to, payload_digest, payload``.
 
     Each archive is opened through Spark, so any store that Spark reads will do.
@@ -268,25 +281,45 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.mapInArrow(run, RECORD_SCHEMA)
 
 
+def read_manifest(manifest: DataFrame, folder: str) -> DataFrame:
+    """The records of the archives that a manifest of ``write_warc`` names, all
+    of them in ``folder``.  Only the folder's name passes through the driver.
+
+    Files of task attempts that failed lie in the folder too but not in the
+    manifest: their records are left out by file name.  A manifest without rows
+    gives an empty result.
+    """
+    spark = manifest.sparkSession
+    if manifest.isEmpty():
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    records = read_warc(spark, [folder])
+    names = manifest.select(F.regexp_extract("archive", "[^/]*$", 0).alias("_name")).distinct()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load([folder]).select(F.regexp_extract("path", "[^/]*$", 0).alias("_name"))
+    strays = [r["_name"] for r in files.join(names, "_name", "left_anti").limit(MAX_STRAYS + 1).collect()]
+    if len(strays) > MAX_STRAYS:  # more failed attempts than a plan should list
+        return records.withColumn("_name", F.regexp_extract("archive", "[^/]*$", 0)).join(names, "_name", "left_semi").drop("_name")
+    return records.filter(~F.regexp_extract("archive", "[^/]*$", 0).isin(strays)) if strays else records
+
+
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "position", "record_type", "record_id", "uri", "refers_to", "payload_digest", "payload"])
 
 
-def page_records(records: DataFrame) -> DataFrame:
+def page_records(records: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Of records read back: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to``.  A revisit has its payload's length from the
+    record_type, refers_to``, ids as ``id_type``.  A revisit has its payload's length from the
     response that it refers to."""
 
     def number(c: str):
         return F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
 
     flat = records.select(
-        F.when(number("record_id") != "", number("record_id")).cast("long").alias("page_id"),
+        F.when(number("record_id") != "", number("record_id")).cast(id_type).alias("page_id"),
         F.octet_length("payload").cast("long").alias("own"),
         "payload_digest",
         "record_type",
-        F.when(F.col("refers_to").isNotNull(), number("refers_to")).cast("long").alias("refers_to"),
+        F.when(F.col("refers_to").isNotNull(), number("refers_to")).cast(id_type).alias("refers_to"),
     )
     flat = settled(flat, "warc-records")
     base = flat.filter("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("own").alias("_own")).distinct()

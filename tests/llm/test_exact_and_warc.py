@@ -123,3 +123,28 @@ def test_broken_archive_names_the_file(spark, tmp_path):
     (tmp_path / "bad.warc.zst").write_bytes(archive(frame(record(1)), b"junk"))
     with pytest.raises(PythonException, match="bad.warc.zst"):
         warc.read_warc(spark, [str(tmp_path)]).collect()
+
+
+def test_urls_and_ids_come_back(spark, tmp_path):
+    rows = [("a", "http://a.b/x%20y?q=café"), ("b", " http://edge "), ("c", "http://a/\n\r%"), ("d", None), ("a", "http://a.b/%25")]
+    df = spark.createDataFrame([(i, u, "p" * 200) for i, u in rows], "page_id string, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_warc(df, folder)
+    (tmp_path / "w" / "left-by-a-failed-attempt.warc.zst").write_bytes(b"broken")
+    with pytest.raises(PythonException):
+        warc.read_warc(spark, [folder]).count()
+    (tmp_path / "w" / "left-by-a-failed-attempt.warc.zst").unlink()
+    records = warc.read_manifest(manifest, folder)
+    assert sorted((r.record_id[10:-1], r.uri) for r in records.collect()) == sorted(rows, key=lambda r: (r[0], r[1]))
+    out = warc.page_records(records, "string").collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in out} == {("a", "response", None), ("b", "revisit", "a"), ("c", "revisit", "a"), ("d", "revisit", "a")}
+    part = manifest.filter("false")
+    assert warc.read_manifest(part, folder).count() == 0
+
+
+def test_records_outside_the_manifest_are_left_out(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(i, "http://a", f"text {i}") for i in range(20)], "page_id long, url string, html string")
+    warc.write_warc(df.filter("page_id < 10").coalesce(1), folder).count()
+    second = warc.write_warc(df.filter("page_id >= 10").coalesce(1), folder)
+    assert {r.page_id for r in warc.page_records(warc.read_manifest(second, folder)).collect()} == set(range(10, 20))
