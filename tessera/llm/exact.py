@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACES, discard, settled, text_key, with_text_key
 
 PREFIX_CHARS = 64
-# Key tables up to this many rows (some 32 bytes each) go to all tasks; larger ones are joined by a shuffle.
-MAX_BROADCAST_KEYS = 1_000_000
+# Key tables up to this many rows (at most some 150 bytes each) go to all tasks; larger ones are joined by a shuffle.
+MAX_BROADCAST_KEYS = 200_000
 
 
 def _side(df: DataFrame) -> DataFrame:

@@ -26,8 +26,9 @@ def brute(rows):
     return {(i, min(groups[exact.normalised(t)])[1], len(groups[exact.normalised(t)])) for i, t, *_ in rows}
 
 
-@pytest.mark.parametrize("digest_all", [False, True])
-def test_exact_groups(spark, digest_all):
+@pytest.mark.parametrize("digest_all,keys", [(False, 200_000), (True, 200_000), (False, 0), (True, 0)])
+def test_exact_groups(spark, digest_all, keys, monkeypatch):
+    monkeypatch.setattr(exact, "MAX_BROADCAST_KEYS", keys)
     out = exact.exact_dedup(docs(spark), digest_all=digest_all).collect()
     assert len(out) == len(ROWS)
     assert {(r.id, r.keep_id, r.group_size) for r in out} == brute(ROWS)
