@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD_PATTERN, settled
 
 MAX_BROADCAST_SOURCES = 50_000
+REPEAT_BLOCK = 1000
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -66,6 +67,18 @@ def _pivot(seed: int, level: int):
     return step
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """``doc, source, size, nth``: each row of ``counted`` as often as its ``times``
+    says, numbered from 1.  Many repeats are dealt out in blocks first, so that no
+    task writes out all of them."""
+    keep = ["doc", "source", "size"]
+    few = counted.filter(F.col("times") <= REPEAT_BLOCK).select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    blocks = counted.filter(F.col("times") > REPEAT_BLOCK).select(*keep, "times", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEAT_BLOCK))).alias("block"))
+    first, last = F.col("block") * REPEAT_BLOCK + 1, F.least((F.col("block") + 1) * REPEAT_BLOCK, F.col("times"))
+    many = blocks.repartition("doc", "block").select(*keep, F.explode(F.sequence(first, last)).alias("nth"))
+    return few.unionByName(many)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -102,7 +115,7 @@ def mix_sources(
     side = F.broadcast(targets) if n_sources <= MAX_BROADCAST_SOURCES else targets
     # Rows that repeat id, source and size get a number, so that a group stays small whatever repeats.
     numbered = sized.groupBy("doc", "source", "size").agg(F.count("*").alias("times"))
-    numbered = numbered.select("doc", "source", "size", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    numbered = _numbered(numbered)
     rows = numbered.join(side.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     rows = rows.withColumn("share", share).withColumn("base", F.floor("share").cast("long"))

@@ -81,3 +81,9 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
     plan = mixing.mix_sources(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_repeats_are_numbered_in_blocks(spark):
+    counted = spark.createDataFrame([(1, "a", 3, 1), (2, "a", 3, 1000), (3, None, 0, 2501)], "doc long, source string, size long, times long")
+    rows = mixing._numbered(counted).collect()
+    assert sorted((r.doc, r.nth) for r in rows) == [(1, 1)] + [(2, k) for k in range(1, 1001)] + [(3, k) for k in range(1, 2502)]
