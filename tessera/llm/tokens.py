@@ -27,6 +27,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _refuse_other_settings(spec: dict, path: str) -> None:
+    """Raises where a file asks for steps that aren't taken here."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    if model.get("type", "BPE") != "BPE":
+        wrong.append("model")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"{path}: settings that token counts don't follow: {', '.join(wrong)}")
+
+
 class RankMerger:
     """Counts tokens of pre-tokens.  Symbols of many pre-tokens lie in one flat
     array with their pre-token's number; in every step each pre-token applies
@@ -34,6 +49,7 @@ class RankMerger:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        _refuse_other_settings(spec, path)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         left = np.array([vocab[a] for a, _ in merges], np.int64)

@@ -97,3 +97,14 @@ def test_tokens_that_come_together_and_long_rules(spark):
     assert (frozenset(["site", *together]), "block") in rules
     assert (frozenset(["site", *"pqrstu"]), "block") in rules  # six tokens and no fewer
     assert urls.mine_rules(df.limit(0)) == []
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "BPE", "ignore_merges": True, "vocab": {}, "merges": []}}])
+def test_other_settings_are_refused(tmp_path, change):
+    import json
+
+    spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "vocab": {}, "merges": []}} | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="settings"):
+        tokens.RankMerger(str(path))
