@@ -93,6 +93,27 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_suffix_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), p AS (
+  SELECT k, b, substr(x, 2 * b + 1, 1422) AS part FROM d, unnest(range(0, length(x) // 2, 512)) t(b)
+), w AS MATERIALIZED (
+  SELECT k, b + i AS i, md5(substr(part, 2 * i - 1, 400)) AS g FROM p, unnest(range(1, least(512, length(part) // 2 - 199) + 1)) u(i)
+), r AS (
+  SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)
+), n AS (
+  SELECT k, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS span FROM r
+), s AS (
+  SELECT k, min(i) AS a, max(i) + 199 AS b FROM n GROUP BY k, span
+), g AS (
+  SELECT s.k, a, b, coalesce(lag(b) OVER (PARTITION BY s.k ORDER BY a), 0) AS before FROM s
+), o AS (
+  SELECT d.k, sum(b - a + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM g JOIN d ON g.k = d.k GROUP BY 1
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN o ON d.k = o.k
+""",
     "op3_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, i, word FROM (
