@@ -15,13 +15,13 @@ from tessera.plans.catalog import QUERIES, SQL, read
 
 def per_row(name: str, table: str, key: str, pairs: list[tuple[str, Callable, str]], columns: type) -> None:
     """Registers a query that gives key and, for each (alias, column maker, SQL), that
-    column.  Doubles are compared to nine significant digits."""
+    column: to nine significant digits, or as it is where the alias begins with ``=``."""
 
     def query(spark, sf_dir):
         given = columns()
-        return read(spark, sf_dir, table).select(key, *[digits(make(given)).alias(alias) for alias, make, _ in pairs])
+        return read(spark, sf_dir, table).select(key, *[make(given).alias(alias[1:]) if alias[0] == "=" else digits(make(given)).alias(alias) for alias, make, _ in pairs])
 
-    listed = ", ".join(f"{sql_digits(sql)} AS {alias}" for alias, _, sql in pairs)
+    listed = ", ".join(f"{sql} AS {alias[1:]}" if alias[0] == "=" else f"{sql_digits(sql)} AS {alias}" for alias, _, sql in pairs)
     QUERIES[name] = query
     SQL[name] = f"SELECT {key}, {listed} FROM {table}"
 
