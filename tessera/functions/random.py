@@ -251,7 +251,8 @@ class Generator:
         _shares(p)
         edges = [sum(p[: k + 1]) for k in range(len(p) - 1)]
         draws = F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda k: self._category(edges, k))
-        return F.array(*[F.size(F.filter(draws, lambda c, j=j: c == j)) if n else F.lit(0) for j in range(len(p))])
+        times = lambda j: F.size(F.filter(draws, lambda c: c == j))
+        return F.array(*[times(j) if n else F.lit(0) for j in range(len(p))])
 
     def _category(self, edges: list[float], k: Column) -> Column:
         u, out = self.random(k), F.lit(len(edges))
@@ -265,7 +266,8 @@ class Generator:
         if n > len(marbles):
             raise ValueError("more draws than marbles")
         keyed = F.array_sort(F.array(*[F.struct(self.random().alias("u"), F.lit(c).alias("c")) for c in marbles]))
-        return F.array(*[F.size(F.filter(F.slice(keyed, 1, n), lambda x, j=j: x["c"] == j)) if n else F.lit(0) for j in range(len(colors))])
+        times = lambda j: F.size(F.filter(F.slice(keyed, 1, n), lambda x: x["c"] == j))
+        return F.array(*[times(j) if n else F.lit(0) for j in range(len(colors))])
 
     def dirichlet(self, alpha: list[float]) -> Column:
         parts = F.array(*[self.standard_gamma(a) for a in alpha])

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,15 +142,21 @@ def fma(a: Value, b: Value, c: Value) -> Column:
 
 
 def gcd(a: Value, b: Value) -> Column:
-    """Greatest common divisor by Euclid's steps (94 settle any two 64-bit integers)."""
-    start = F.struct(F.abs(col(a).cast("bigint")).alias("x"), F.abs(col(b).cast("bigint")).alias("y"))
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] != 0, s["y"]).otherwise(F.lit(1))).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(94)), start, step, lambda s: s["x"])
+    """Greatest common divisor, an Arrow batch at a time; null where either is."""
+
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.gcd(*(pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in (x, y)))
+        return pa.array(out, pa.int64(), mask=np.asarray(pc.or_(pc.is_null(x), pc.is_null(y))))
+
+    return run(col(a).cast("bigint"), col(b).cast("bigint"))
 
 
 def lcm(a: Value, b: Value) -> Column:
+    """Raises where the result has more than 64 bits."""
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise((F.abs(col(a).cast("bigint")) / F.when(g != 0, g)).cast("bigint") * F.abs(col(b).cast("bigint")))
+    part = F.call_function("div", F.abs(col(a).cast("bigint")), F.when(g != 0, g))
+    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise(part * F.abs(col(b).cast("bigint")))
 
 
 # --- exponentials and logarithms

@@ -7,37 +7,46 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPLEX = "array<struct<re:double,im:double>>"
 
 
-def _numbers(cell) -> np.ndarray:
-    if len(cell) and isinstance(cell[0], dict):
-        return np.array([c["re"] + 1j * c["im"] for c in cell])
-    if len(cell) and hasattr(cell[0], "re"):
-        return np.array([c.re + 1j * c.im for c in cell])
-    return np.asarray(cell, float)
-
-
 def _transform(name: str, signal: Column, real_out: bool, n: int | None, norm: str | None, shape: tuple[int, ...] | None = None) -> Column:
+    """numpy's transform of each cell; cells of equal length are transformed as one array."""
     f = getattr(np.fft, name)
 
-    @F.pandas_udf("array<double>" if real_out else COMPLEX)
-    def run(cells: pd.Series) -> pd.Series:
-        out = []
-        for c in cells:
-            if c is None:
-                out.append(None)
-                continue
-            x = _numbers(c)
-            if shape is not None:
-                y = f(x.reshape(shape), norm=norm).ravel()
+    @F.arrow_udf("array<double>" if real_out else COMPLEX)
+    def run(cells: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(cells), -1).to_numpy()
+        flat = cells.flatten()
+        if pa.types.is_struct(flat.type):
+            re, im = (pc.cast(pc.struct_field(flat, k), pa.float64()).to_numpy(zero_copy_only=False) for k in (0, 1))
+            flat = re + 1j * im
+        else:
+            flat = pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False)
+        start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        parts, length, rows = [], np.zeros(len(size), np.int64), []
+        for own in np.unique(size[size >= 0]).tolist():
+            at = np.flatnonzero(size == own)
+            x = flat[start[at][:, None] + np.arange(own)]
+            if shape is None:
+                y = f(x, n=n, norm=norm, axis=-1)
             else:
-                y = f(x, n=n, norm=norm)
-            out.append(np.asarray(y, float) if real_out else [{"re": z.real, "im": z.imag} for z in y])
-        return pd.Series(out)
+                y = f(x.reshape(len(at), *shape), axes=tuple(range(1, len(shape) + 1)), norm=norm).reshape(len(at), -1)
+            parts.append(y.ravel())
+            length[at] = y.shape[1]
+            rows.append(at)
+        out = np.concatenate(parts) if parts else np.zeros(0)
+        values = pa.array(out.real, pa.float64()) if real_out else pa.StructArray.from_arrays([pa.array(np.real(out), pa.float64()), pa.array(np.imag(out), pa.float64())], ["re", "im"])
+        rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length[rows])]).astype(np.int32)), values)
+        place = np.full(len(size), -1)
+        place[rows] = np.arange(len(rows))
+        return lists.take(pa.array(np.maximum(place, 0), pa.int64(), mask=place < 0))
 
     return run(signal)
 

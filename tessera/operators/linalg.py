@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,8 +252,26 @@ def local(a: Grid) -> np.ndarray:
 
 
 def gram(a: Grid) -> Grid:
-    """Transposed a times a: k x k for n x k, one aggregation."""
-    return einsum("ni,nj->ij", a, a)
+    """Transposed a times a: k x k for n x k.  Rows are put together once; each task
+    adds up the products of its rows, so k x k numbers a task meet in the sum."""
+    k = a.shape[1]
+    if k * k > MAX_LOCAL or a.dtype not in ("double", "float", "int", "bigint"):
+        return einsum("ni,nj->ij", a, a)
+    cells = a.df.filter(F.col("v").isNotNull())  # a masked element adds nothing, as in any sum
+    rows = cells.groupBy("i0").agg(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v"))).alias("cells")).select("cells.i1", "cells.v")
+
+    def add(batches):
+        total = np.zeros((k, k))
+        for batch in batches:
+            at, v = batch.column(0), batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
+            dense = np.zeros((batch.num_rows, k))
+            dense[row, at.flatten().to_numpy()] = v.flatten().to_numpy()
+            total += dense.T @ dense
+        i, j = np.indices((k, k))
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i0", "i1", "v"])
+
+    return Grid(rows.mapInArrow(add, "i0 bigint, i1 bigint, v double").groupBy("i0", "i1").agg(F.sum("v").alias("v")), (k, k))
 
 
 def svdvals(a: Grid) -> np.ndarray:

@@ -335,7 +335,7 @@ TYPES = [("int8", "uint8"), ("int32", "float32"), ("int64", "uint64"), ("float32
 
 
 @register("""
-SELECT * FROM (VALUES ('int8', 'uint8', 'int16', false, 1, true, true, false, false, false), ('int32', 'float32', 'float64', false, 4, true, true, false, false, false), ('int64', 'uint64', 'float64', false, 8, true, true, false, false, false),
+SELECT * FROM (VALUES ('int8', 'uint8', 'uint8', false, 1, true, true, false, false, false), ('int32', 'float32', 'float32', true, 4, true, true, false, false, false), ('int64', 'uint64', 'uint64', false, 8, true, true, false, false, false),
   ('float32', 'float64', 'float64', true, 4, false, false, true, false, false), ('bool', 'int16', 'int16', true, 1, false, false, false, false, true), ('float64', 'complex128', 'complex128', true, 8, false, false, true, false, false))
   t(a, b, promoted, safe, size, whole, signed, floating, complex_, bool_)
 """)

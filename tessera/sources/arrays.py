@@ -124,7 +124,7 @@ def _rows(spark: SparkSession, path: str, delimiter: str | None, comments: str)
 
 def loadtxt(spark: SparkSession, path: str, delimiter: str | None = None, comments: str = "#") -> Grid:
     """Numbers in rows; comments and blank lines are skipped, ragged rows raise."""
-    rows = _rows(spark, path, delimiter, comments).withColumn("cells", F.filter(F.transform("cells", F.btrim), lambda c: c != ""))
+    rows = _rows(spark, path, delimiter, comments).withColumn("cells", F.filter(F.transform("cells", lambda c: F.btrim(c)), lambda c: c != ""))
     n, lo, hi = rows.agg(F.count("*"), F.min(F.size("cells")), F.max(F.size("cells"))).first()
     if lo != hi:
         raise ValueError(f"rows of {lo} to {hi} numbers")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog, catalog_formulas, catalog_functions, catalog_more  # noqa: F401  (registers its queries)
+from tessera.plans import catalog, catalog_arrays, catalog_formulas, catalog_functions, catalog_more  # noqa: F401  (registers its queries)
 
 FOLDER = os.environ.get("TESSERA_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
