@@ -312,11 +312,10 @@ def _items(rows: DataFrame) -> Iterator[Item]:
             yield Item(r.i, *parts)
 
 
-def item_passes(items: DataFrame) -> Iterator[list[ItemIndex]]:
-    """Indexes over all items of (i, q, a), in id order, in lists that one pass over
-    the documents takes.  The test set comes to the driver part by part, twice:
+def item_passes(rows: DataFrame) -> Iterator[list[ItemIndex]]:
+    """Indexes over all items of (i, q, a), in any order, in lists that one pass over
+    the documents takes (scores don't depend on how items fall into them).  The test set comes to the driver part by part, twice:
     once for its statistics (a count per distinct word), once for the slabs."""
-    rows = items.orderBy("i", "q", "a")
     statistics = ItemStatistics.of(_items(rows))
     held, words, slabs, size = [], 0, [], 0
 
