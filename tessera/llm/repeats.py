@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settled
+from tessera.llm.common import discard, settled
 
 # A key with more different ranges than this is resolved by its windows' fingerprints, which no single task gathers.
 HOT_RANGES = 4096
@@ -77,10 +77,12 @@ def repeated_spans(
     keys = found.groupBy("key").agg(F.count("*").alias("times"), F.min("print").alias("lo"), F.max("print").alias("hi")).filter("times > 1").select("key", "times", (F.col("lo") == F.col("hi")).alias("same"))
     keys = settled(keys, f"{name}-keys")
     shared = settled(found.join(keys, "key"), f"{name}-shared")
+    discard(keys)
     whole = shared.filter("same").select("id", "h", "at", "n")
     mixed = shared.filter("NOT same").select("key", "print", "id", "h", "at", "n", "times")
     groups = settled(mixed.groupBy("key", "print").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "at")).alias("first")), f"{name}-groups")
     mixed = settled(mixed.join(groups, ["key", "print"]), f"{name}-mixed")
+    discard(groups)
     whole = whole.unionByName(mixed.filter("copies > 1").select("id", "h", "at", "n"))
     # One range of each group of equal ones stands for it; groups of one get their result.
     stand = mixed.filter(F.struct("id", "h", "at") == F.col("first")) if kind != "void" else mixed

@@ -20,6 +20,8 @@ from tessera.llm.common import CHUNK_BYTES, chunks, hash_table, hash_words, mix6
 from tessera.llm.repeats import counted, covered, keyed, ranges_of, repeated_spans, with_spans
 
 WINDOW = 35
+# More rounds give longer symbols but more, shorter ranges: rows to exchange.  The result is the same for any number.
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -80,9 +82,10 @@ def compress_pairs(level: Level, nth: int) -> Level:
     return _merged(level, first, np.where(paired, joined, level.name[first]), lo, hi)
 
 
-def recompress(words: np.ndarray, doc: np.ndarray, size: int) -> list[Level]:
+def recompress(words: np.ndarray, doc: np.ndarray, size: int, rounds: int | None = None) -> list[Level]:
     """The symbol strings round by round, up to the last one with a symbol that
-    some run of ``size`` words of a document decides; words are numbered over all rows.
+    some run of ``size`` words of a document decides, or to the given number of
+    rounds; words are numbered over all rows.
 
     A window that decides a symbol also decides the symbols it is made of, so the
     rounds that a window sees depend on its own words alone, not on what else is
@@ -93,7 +96,7 @@ def recompress(words: np.ndarray, doc: np.ndarray, size: int) -> list[Level]:
     levels = [level]
     begin, end = np.searchsorted(doc, doc, side="left"), np.searchsorted(doc, doc, side="right")
     nth = 0
-    while True:
+    while rounds is None or nth < rounds:
         level = compress_pairs(compress_runs(level, nth), nth)
         # A symbol's deciding words never shrink from its own: keep them in order for searching.
         level.lo = np.minimum.accumulate(level.lo[::-1])[::-1]
@@ -102,6 +105,7 @@ def recompress(words: np.ndarray, doc: np.ndarray, size: int) -> list[Level]:
             return levels
         levels.append(level)
         nth += 1
+    return levels
 
 
 def window_anchors(levels: list[Level], n_windows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +150,7 @@ def _parsed(texts: pa.Array):
     return raw, off, starts, ends, doc, np.cumsum(size) - size, hash_words(raw, starts, ends)
 
 
-def _anchors(size: int):
+def _anchors(size: int, rounds: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, hs, texts in chunks(batch.columns, 2, CHUNK_BYTES):
@@ -154,7 +158,7 @@ def _anchors(size: int):
                 m = len(words) - size + 1
                 if m <= 0:
                     continue
-                name, depth, place = window_anchors(recompress(words, doc, size), m, size)
+                name, depth, place = window_anchors(recompress(words, doc, size, rounds), m, size)
                 inside = doc[:m] == doc[size - 1 :]
                 at, n = ranges_of(np.where(inside, place, -1), doc[:m])
                 if not len(at):
@@ -245,14 +249,14 @@ def _cut(size: int, with_text: bool):
     return run
 
 
-def remove_repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, size: int = WINDOW, rounds: int | None = ROUNDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256, kept`` per input row: each word that
     is covered by a run of ``size`` words that also starts anywhere else, in
     the same text or another, is removed; kept words are joined by one space
     (``kept`` is null without ``with_text``).
 
-    Words are ``[^\\x20\\x09-\\x0D]+``.  After the rounds of recompression (as many as
-    windows of this size decide symbols of) every window is filed under the least high-level symbol that its own words decide
+    Words are ``[^\\x20\\x09-\\x0D]+``.  After ``rounds`` rounds of recompression (None: as
+    many as windows of this size decide symbols of; the result doesn't depend on it) every window is filed under the least high-level symbol that its own words decide
     (or one of a lower level, down to the words, if no higher one is decided).
     Equal windows have equal symbols at equal places, so windows whose symbol
     occurs once are no repeats.  Ranges of windows around a shared symbol that
@@ -264,6 +268,6 @@ def remove_repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "do
     result.  Names and counts cover all documents; no group is gathered.
     """
     source = keyed(docs, id_col, text_col)
-    spans = repeated_spans(source, _anchors(size), _emit(size), counted, "id ID, h int, at int, p long, q long, ask boolean", "words")
+    spans = repeated_spans(source, _anchors(size, rounds), _emit(size), counted, "id ID, h int, at int, p long, q long, ask boolean", "words")
     kind = source.schema["id"].dataType.simpleString()
     return with_spans(source, spans).mapInArrow(_cut(size, with_text), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")

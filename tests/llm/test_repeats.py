@@ -58,10 +58,10 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(texts)], "doc_id long, text string, key string, h int, spans string").repartition(3)
 
 
-@pytest.mark.parametrize("size", [35, 7])
-def test_words_against_brute_force(spark, size):
+@pytest.mark.parametrize("size,rounds", [(35, 3), (35, None), (7, 3), (7, 0)])
+def test_words_against_brute_force(spark, size, rounds):
     texts = make_texts(size, size)
-    out = {r.id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.remove_repeated_words(frame(spark, texts), size).collect()}
+    out = {r.id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.remove_repeated_words(frame(spark, texts), size, rounds).collect()}
     assert [out[i] for i in range(len(texts))] == brute_words(texts, size)
 
 
