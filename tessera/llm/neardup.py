@@ -203,8 +203,11 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     solid = signed.filter("filled AND id IS NOT NULL")
     members = settled(solid.groupBy(F.col("same").alias("member")).agg(F.min(F.struct("id", "h")).alias("row"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "near-members")
     placed = members.select("member", F.posexplode("keys").alias("band", "key")).select("member", F.xxhash64("band", "key").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    # Aggregates are written before they meet their rows again: a join whose two sides are
+    # dealt out anew is one whose large buckets Spark can split.
+    shared = settled(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-shared")
     placed = settled(placed.join(shared, "bucket"), "near-buckets")
+    discard(shared)
     sets = settled(_sets(source, members.join(placed.select("member").distinct(), "member", "left_semi").select("member", "row"), weighting), "near-shingles")
 
     links, classes, tried = None, None, None
@@ -212,13 +215,14 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
         order = F.xxhash64(F.lit(nth), "bucket", "member")
         field = placed.withColumn("root", F.col("member")) if classes is None else settled(_open(placed, classes), f"near-open-{nth}")
         who = F.struct("member", "root")
-        leaders = field.groupBy("bucket").agg(F.min_by(who, order).alias("low"), F.max_by(who, order).alias("high"))
+        leaders = settled(field.groupBy("bucket").agg(F.min_by(who, order).alias("low"), F.max_by(who, order).alias("high")), f"near-leaders-{nth}")
         # Both leaders of a bucket in one row each; members of a leader's own class need no more links to it.
         met = field.join(leaders, "bucket").select("member", "root", F.explode(F.array("low", "high")).alias("y")).filter("root <> y.root")
         found = met.select(F.least("member", "y.member").alias("a"), F.greatest("member", "y.member").alias("b")).distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = settled(found, f"near-candidates-{nth}")
+        discard(leaders)
         if nth:
             discard(field)
         if found.isEmpty():
