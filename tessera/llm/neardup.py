@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,11 +181,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
        size.  16 bands give each member up to 32 partners of different kinds.
     3. Candidates are verified by the exact similarity of their shingle sets.
     4. In buckets whose members are then still in several classes leaders are
-       drawn anew and compared with the members of other classes, as long as a
-       round finds a link, at most MAX_REDRAWS times in all.
+       drawn anew and compared with the members of other classes, for as long as
+       at least one in ten candidates of a round is a link.
     5. Whatever buckets are then still open is compared as a whole: all pairs of
        their members in different classes are candidates, but those that
-       cannot reach the threshold by their prefixes (see ``_unmet``).
+       cannot reach the threshold by their prefixes (see ``_unmet``).  So the
+       number of rounds affects the work, never the classes.
 
     At similarity 0.8 a pair shares one of 16 bands of 4 with probability
     1-(1-0.8**4)**16 = 0.9998.  Texts without words (null, empty) belong to no
@@ -211,7 +213,7 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     sets = settled(_sets(source, members.join(placed.select("member").distinct(), "member", "left_semi").select("member", "row"), weighting), "near-shingles")
 
     links, classes, tried = None, None, None
-    for nth in range(MAX_REDRAWS):
+    for nth in itertools.count():  # a round that goes on has merged classes, so it ends
         order = F.xxhash64(F.lit(nth), "bucket", "member")
         field = placed.withColumn("root", F.col("member")) if classes is None else settled(_open(placed, classes), f"near-open-{nth}")
         who = F.struct("member", "root")
@@ -225,15 +227,19 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
         discard(leaders)
         if nth:
             discard(field)
-        if found.isEmpty():
+        n_found = found.count()
+        if not n_found:
             break
         verified = settled(_verified(sets, found, threshold), f"near-links-{nth}")
         tried = found if tried is None else tried.unionByName(found)
-        if verified.isEmpty():
+        n_links = verified.count()
+        if not n_links:
             break
         links = verified if links is None else links.unionByName(verified)
         discard(classes)
         classes = settled(components(links), f"near-classes-{nth}")
+        if n_links * LINK_SHARE < n_found:
+            break
     # Leaders only shrink the work: what they left open is compared without exception.
     field = placed.withColumn("root", F.col("member")) if classes is None else _open(placed, classes)
     rest = _unmet(sets, settled(field.select("member", "root").distinct(), "near-unmet"), threshold)
@@ -260,7 +266,8 @@ def _decided(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     return out.select("id", "h", F.coalesce("stays.id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("stays").isNull() | ((F.col("stays.id") == F.col("id")) & (F.col("stays.h") == F.col("h")))).alias("kept"))
 
 
-MAX_REDRAWS = 4
+# Leaders are drawn anew while one in so many candidates is a link; below that, comparing the rest by prefixes is less work.
+LINK_SHARE = 10
 
 
 def _open(placed: DataFrame, classes: DataFrame) -> DataFrame:
