@@ -304,14 +304,15 @@ def _unmet(sets: DataFrame, field: DataFrame, threshold: float) -> DataFrame | N
         return None
     texts = sets.join(field, sets["id"] == field["member"]).select("member", "root", "shingles")
     cells = texts.mapInArrow(_elements, "member long, root long, size long, shingle long")
-    across = cells.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", "n")
+    across = settled(cells.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", "n"), "near-across")
     common = cells.join(across, "shingle")
     one = Window.partitionBy("member")
     ranked = common.select("member", "root", "size", "shingle", (F.col("size") - F.count("*").over(one) + F.row_number().over(one.orderBy("n", "shingle")) - 1).alias("at"))
     least = F.ceil(F.col("size") * threshold - 1e-9)
     heads = settled(ranked.filter(F.col("at") <= F.col("size") - least), "near-prefixes")
+    discard(across)
     top = heads.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    top = top.select("shingle", F.col("top.root").alias("top"))
+    top = settled(top.select("shingle", F.col("top.root").alias("top")), "near-tops")
     y = heads.join(top, "shingle")
     x = y.filter("root <> top").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("member", "root", "size", "at")))
     enough = F.least(F.col("size") - F.col("at"), F.col("x_size") - F.col("x_at")) >= (F.col("size") + F.col("x_size")) * (threshold / (1 + threshold)) - 1e-6
