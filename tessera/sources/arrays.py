@@ -112,8 +112,10 @@ def tofile(g: Grid, path: str) -> None:
 
 
 def _rows(spark: SparkSession, path: str, delimiter: str | None, comments: str) -> DataFrame:
-    """Lines of one file in order: ``i0`` counts lines that hold something."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    """Lines of a file, or of a folder's files by name, in order: ``i0`` counts lines that
+    hold something.  Spark deals out large files first, so places alone don't give the order."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(place.alias("_at"), "value")
     body = F.btrim(F.split("value", re.escape(comments), 2)[0], F.lit(" \t\r"))
     kept = lines.select("_at", body.alias("line")).filter("line <> ''")
     from tessera.operators.ordering import with_index
