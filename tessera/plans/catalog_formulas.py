@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import formulas as f
 from tessera.functions import physics
 from tessera.functions import ufuncs as u
-from tessera.plans.catalog import QUERIES, SQL, read
+from tessera.plans.catalog import QUERIES, SQL, read, rounded
 
 
 def per_row(name: str, table: str, key: str, pairs: list[tuple[str, Callable, str]], columns: type) -> None:
@@ -29,7 +29,7 @@ def per_row(name: str, table: str, key: str, pairs: list[tuple[str, Callable, st
 def digits(x: Column) -> Column:
     """x as its logarithm's nine digits and its sign, so that sizes from 1e-40 to 1e40 compare alike."""
     v = x.cast("double")
-    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.round(F.ln(F.abs(v)), 8) + 100))
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (rounded(F.ln(F.abs(v)), 8) + 100))
 
 
 def sql_digits(x: str) -> str:

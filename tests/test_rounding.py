@@ -1,8 +1,11 @@
 """Rounded columns agree with their SQL where a double lies just below a half."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tessera.functions import ufuncs as u
 from tessera.plans.catalog import spikes_by_rate
+from tessera.plans.catalog_formulas import digits, sql_digits
 
 
 def test_spikes_by_rate_rounds_as_its_sql_and_gives_all_spikes(spark, tmp_path):
@@ -11,3 +14,8 @@ def test_spikes_by_rate_rounds_as_its_sql_and_gives_all_spikes(spark, tmp_path):
     want = duckdb.sql("SELECT i, round(1.0 * k / n, 6) FROM (VALUES (0, 640), (1, 1120)) e(i, n), range(2000) r(k) WHERE k < n").fetchall()
     assert got == sorted(want) and len(got) == 640 + 1120
     assert (0, 0.504687) in got  # 323/640 is just below 0.5046875
+
+
+def test_digits_of_a_root_round_as_their_sql(spark):
+    row = spark.range(330087507, 330087508).select(digits(u.float_power(F.col("id"), 0.5)).alias("v")).first()
+    assert row.v == duckdb.sql(f"SELECT {sql_digits('sqrt(330087507)')}").fetchall()[0][0] == 9.80743417 + 100
