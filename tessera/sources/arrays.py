@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import io
 import re
+import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.grid import Grid, from_flat
+from tessera.operators.grid import Grid, from_flat, ravel_multi_index
+
+PIECE = 1 << 16  # elements that a task packs, and the driver writes, at once
+NUMPY = {"boolean": bool, "tinyint": int, "smallint": int, "int": int, "bigint": int, "float": float, "double": float}
 
 
 def npy_bytes(a: np.ndarray) -> bytes:
@@ -41,6 +46,13 @@ def _value(x):
     return {"re": x.real, "im": x.imag} if isinstance(x, complex | np.complexfloating) else x
 
 
+def _cells(flat: np.ndarray) -> Iterator[pd.DataFrame]:
+    """``i, v`` of a flat array, a batch of bounded size at a time."""
+    for at in range(0, len(flat), PIECE):
+        part = flat[at : at + PIECE]
+        yield pd.DataFrame({"i": np.arange(at, at + len(part)), "v": [_value(x) for x in part] if flat.dtype.kind == "c" else part})
+
+
 def load(spark: SparkSession, path: str) -> Grid:
     """An .npy file as a Grid; the header is read by the driver, the elements by a task."""
     files = spark.read.format("binaryFile").load(path)
@@ -50,35 +62,85 @@ def load(spark: SparkSession, path: str) -> Grid:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                flat = np.load(io.BytesIO(content), allow_pickle=False).ravel()
-                for at in range(0, len(flat), 1 << 16):
-                    part = flat[at : at + (1 << 16)]
-                    yield pd.DataFrame({"i": np.arange(at, at + len(part)), "v": [_value(x) for x in part] if kind.kind == "c" else part})
+                yield from _cells(np.load(io.BytesIO(content), allow_pickle=False).ravel())
 
     return from_flat(spark, files.select("content").mapInPandas(run, f"i bigint, v {_spark_type(kind)}"), shape)
 
 
+def _pieces(g: Grid) -> Iterator[bytes]:
+    """The bytes of the array in C order, ``PIECE`` elements at a time; the driver holds
+    those of one partition, some 16 pieces, at once.  Cells that g lacks are 0, masked
+    doubles NaN; other masked cells and places outside the shape raise."""
+    kind, size = np.dtype(NUMPY[g.dtype]), g.size
+    inside = reduce(lambda a, b: a & b, [(i >= 0) & (i < n) for i, n in zip(g.index, g.shape, strict=True)], F.lit(True))
+    place = F.when(inside, ravel_multi_index(g.index, g.shape)).otherwise(F.raise_error(F.lit(f"a place outside {g.shape}")))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["piece"].iloc[0])
+        if kind.kind != "f" and rows["v"].isna().any():
+            raise ValueError(f"masked cells have no {kind} value")
+        out = np.zeros(min(PIECE, size - k * PIECE), kind)
+        out[rows["i"].to_numpy() - k * PIECE] = rows["v"].to_numpy()
+        return pd.DataFrame({"piece": [k], "content": [out.tobytes()]})
+
+    n = -(-size // PIECE)
+    flat = g.df.select(place.alias("i"), "v").withColumn("piece", F.floor(F.col("i") / PIECE).cast("bigint"))
+    packed = flat.groupBy("piece").applyInPandas(pack, "piece bigint, content binary")
+    at = 0
+    for row in packed.repartitionByRange(max(1, n // 16), "piece").sortWithinPartitions("piece").toLocalIterator():
+        yield from (bytes(PIECE * kind.itemsize) for _ in range(at, row["piece"]))
+        yield bytes(row["content"])
+        at = row["piece"] + 1
+    yield from (bytes(min(PIECE, size - k * PIECE) * kind.itemsize) for k in range(at, n))
+
+
+def _write_npy(g: Grid, f) -> None:
+    if g.dtype not in NUMPY:
+        raise ValueError(f"an .npy file of {g.dtype}")
+    np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(np.dtype(NUMPY[g.dtype])), "fortran_order": False, "shape": g.shape})
+    for piece in _pieces(g):
+        f.write(piece)
+
+
 def save(g: Grid, path: str) -> None:
-    """One .npy file; the array passes through the driver, as the format wants one file."""
+    """One .npy file; the array passes through the driver piece by piece, as the format wants one file."""
     with open(path, "wb") as f:
-        f.write(npy_bytes(g.to_numpy()))
+        _write_npy(g, f)
 
 
 def savez(path: str, **grids: Grid) -> None:
-    with open(path, "wb") as f:
-        np.savez(f, **{n: g.to_numpy() for n, g in grids.items()})
+    with zipfile.ZipFile(path, "w") as z:
+        for n, g in grids.items():
+            with z.open(f"{n}.npy", "w", force_zip64=True) as f:
+                _write_npy(g, f)
 
 
 savez_compressed = savez
 
 
 def load_npz(spark: SparkSession, path: str) -> dict[str, Grid]:
-    """All arrays of an .npz archive."""
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    with np.load(io.BytesIO(content), allow_pickle=False) as z:
-        from tessera.operators.grid import array
+    """All arrays of an .npz archive; the driver gets their headers, tasks the elements."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for n in z.namelist():
+                        with z.open(n) as f:
+                            yield pd.DataFrame({"name": [n.removesuffix(".npy")], "head": [f.read(4096)]})
+
+    def one(name: str, kind: np.dtype, shape: tuple[int, ...]) -> Grid:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for content in pdf["content"]:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                        yield from _cells(z[name].ravel())
+
+        return from_flat(spark, files.mapInPandas(run, f"i bigint, v {_spark_type(kind)}"), shape)
 
-        return {n: array(spark, z[n]) for n in z.files}
+    found = files.mapInPandas(heads, "name string, head binary").collect()
+    return {r["name"]: one(r["name"], *npy_header(bytes(r["head"]))[:2]) for r in found}
 
 
 def load_many(spark: SparkSession, pattern: str) -> DataFrame:
@@ -86,8 +148,8 @@ def load_many(spark: SparkSession, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                flat = np.load(io.BytesIO(content), allow_pickle=False).ravel().astype(float)
-                yield pd.DataFrame({"path": path, "i": np.arange(len(flat)), "v": flat})
+                for part in _cells(np.load(io.BytesIO(content), allow_pickle=False).ravel().astype(float)):
+                    yield part.assign(path=path)[["path", "i", "v"]]
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(pattern).select("path", "content").mapInPandas(run, "path string, i bigint, v double")
 
@@ -100,15 +162,18 @@ def fromfile(spark: SparkSession, path: str, dtype: str = "float64") -> Grid:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                flat = np.frombuffer(content, dtype)
-                yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+                yield from _cells(np.frombuffer(content, dtype))
 
     return from_flat(spark, files.select("content").mapInPandas(run, f"i bigint, v {_spark_type(np.dtype(dtype))}"), (size,))
 
 
 def tofile(g: Grid, path: str) -> None:
+    """Raw elements in C order, passed through the driver piece by piece."""
+    if g.dtype not in NUMPY:
+        raise ValueError(f"raw elements of {g.dtype}")
     with open(path, "wb") as f:
-        f.write(g.tobytes())
+        for piece in _pieces(g):
+            f.write(piece)
 
 
 def _rows(spark: SparkSession, path: str, delimiter: str | None, comments: str) -> DataFrame:
