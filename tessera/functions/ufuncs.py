@@ -297,7 +297,8 @@ def ceil(x: Value) -> Column:
 
 
 def trunc(x: Value) -> Column:
-    return _guarded(lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)), x)
+    """Toward zero; zero keeps its sign, and what lies between -1 and 0 gives -0.0."""
+    return _guarded(lambda v: F.when(v == 0, v).when(v < 0, -F.floor(-v).cast("double")).otherwise(F.floor(v)), x)
 
 
 fix = trunc

@@ -61,7 +61,7 @@ per_row("arithmetic", "events", "event_id", [
     ("=ab", lambda c: F.round(u.absolute(c.v - 50) + u.fabs(50 - c.v) + u.abs_(c.v), 6), "round(abs(value - 50) * 2 + abs(value), 6)"),
     ("=fmx", lambda c: u.fmax(c.odd, 3.0), f"CASE WHEN isnan({ODD}) THEN 3.0 ELSE greatest({ODD}, 3.0) END"),
     ("=fmn", lambda c: u.fmin(c.odd, 3.0), f"CASE WHEN isnan({ODD}) THEN 3.0 ELSE least({ODD}, 3.0) END"),
-    ("=fmd", lambda c: u.fmod(-c.i, 7), "-(event_id % 7)"),
+    ("=fmd", lambda c: u.fmod(-c.i, 7).cast("bigint"), "-(event_id % 7)"),
     ("rec", lambda c: u.reciprocal(c.v + 1), "1 / (value + 1)"),
     ("=pos", lambda c: u.positive(c.i), "event_id"),
     ("=neg", lambda c: u.negative(c.i), "-event_id"),
