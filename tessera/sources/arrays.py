@@ -29,9 +29,8 @@ def npy_bytes(a: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def npy_header(head: bytes) -> tuple[np.dtype, tuple[int, ...], bool]:
-    """(dtype, shape, Fortran order) from the first bytes of a file."""
-    f = io.BytesIO(head)
+def npy_header(f) -> tuple[np.dtype, tuple[int, ...], bool]:
+    """(dtype, shape, Fortran order) of an open file, which then stands at its elements."""
     version = np.lib.format.read_magic(f)
     read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
     shape, fortran, kind = read(f)
@@ -46,25 +45,56 @@ def _value(x):
     return {"re": x.real, "im": x.imag} if isinstance(x, complex | np.complexfloating) else x
 
 
-def _cells(flat: np.ndarray) -> Iterator[pd.DataFrame]:
-    """``i, v`` of a flat array, a batch of bounded size at a time."""
-    for at in range(0, len(flat), PIECE):
-        part = flat[at : at + PIECE]
-        yield pd.DataFrame({"i": np.arange(at, at + len(part)), "v": [_value(x) for x in part] if flat.dtype.kind == "c" else part})
+def _binary(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """``path, content`` of files; content is NULL where tasks open the path themselves, so
+    that no row holds a whole file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
+    first = files.select("path").first()
+    mounted = first is not None and first["path"].startswith("file:")
+    return files.select("path", F.lit(None).cast("binary").alias("content") if mounted else F.col("content"))
+
+
+def _open(path: str, content: bytes | None):
+    return open(path.removeprefix("file:"), "rb") if content is None else io.BytesIO(content)
+
+
+def _raw(f, kind: np.dtype) -> Iterator[pd.DataFrame]:
+    """``i, v`` of the elements that follow in an open file, ``PIECE`` at a time."""
+    at = 0
+    while part := f.read(PIECE * kind.itemsize):
+        flat = np.frombuffer(part, kind)
+        yield pd.DataFrame({"i": np.arange(at, at + len(flat)), "v": [_value(x) for x in flat] if kind.kind == "c" else flat})
+        at += len(flat)
+
+
+def _npy(f) -> Iterator[pd.DataFrame]:
+    """``i, v`` of an open .npy file; only one in Fortran order is read as a whole."""
+    kind, shape, fortran = npy_header(f)
+    if kind.hasobject:
+        raise ValueError("an .npy file of objects")
+    if fortran:
+        f = io.BytesIO(np.frombuffer(f.read(), kind).reshape(shape, order="F").tobytes())
+    return _raw(f, kind)
 
 
 def load(spark: SparkSession, path: str) -> Grid:
     """An .npy file as a Grid; the header is read by the driver, the elements by a task."""
-    files = spark.read.format("binaryFile").load(path)
-    head = bytes(files.select(F.substring("content", 1, 4096)).first()[0])
-    kind, shape, _ = npy_header(head)
+    files = _binary(spark, path)
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at, content in zip(pdf["path"], pdf["content"], strict=True):
+                with _open(at, content) as f:
+                    yield pd.DataFrame({"head": [f.read(4096)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                yield from _cells(np.load(io.BytesIO(content), allow_pickle=False).ravel())
+            for at, content in zip(pdf["path"], pdf["content"], strict=True):
+                with _open(at, content) as f:
+                    yield from _npy(f)
 
-    return from_flat(spark, files.select("content").mapInPandas(run, f"i bigint, v {_spark_type(kind)}"), shape)
+    kind, shape, _ = npy_header(io.BytesIO(files.mapInPandas(head, "head binary").first()[0]))
+    return from_flat(spark, files.mapInPandas(run, f"i bigint, v {_spark_type(kind)}"), shape)
 
 
 def _pieces(g: Grid) -> Iterator[bytes]:
@@ -120,12 +150,12 @@ savez_compressed = savez
 
 def load_npz(spark: SparkSession, path: str) -> dict[str, Grid]:
     """All arrays of an .npz archive; the driver gets their headers, tasks the elements."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = _binary(spark, path)
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for at, content in zip(pdf["path"], pdf["content"], strict=True):
+                with _open(at, content) as whole, zipfile.ZipFile(whole) as z:
                     for n in z.namelist():
                         with z.open(n) as f:
                             yield pd.DataFrame({"name": [n.removesuffix(".npy")], "head": [f.read(4096)]})
@@ -133,14 +163,14 @@ def load_npz(spark: SparkSession, path: str) -> dict[str, Grid]:
     def one(name: str, kind: np.dtype, shape: tuple[int, ...]) -> Grid:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for content in pdf["content"]:
-                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                        yield from _cells(z[name].ravel())
+                for at, content in zip(pdf["path"], pdf["content"], strict=True):
+                    with _open(at, content) as whole, zipfile.ZipFile(whole) as z, z.open(f"{name}.npy") as f:
+                        yield from _npy(f)
 
         return from_flat(spark, files.mapInPandas(run, f"i bigint, v {_spark_type(kind)}"), shape)
 
     found = files.mapInPandas(heads, "name string, head binary").collect()
-    return {r["name"]: one(r["name"], *npy_header(bytes(r["head"]))[:2]) for r in found}
+    return {r["name"]: one(r["name"], *npy_header(io.BytesIO(r["head"]))[:2]) for r in found}
 
 
 def load_many(spark: SparkSession, pattern: str) -> DataFrame:
@@ -148,23 +178,24 @@ def load_many(spark: SparkSession, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for part in _cells(np.load(io.BytesIO(content), allow_pickle=False).ravel().astype(float)):
-                    yield part.assign(path=path)[["path", "i", "v"]]
+                with _open(path, content) as f:
+                    for part in _npy(f):
+                        yield pd.DataFrame({"path": path, "i": part["i"], "v": part["v"].astype(float)})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(pattern).select("path", "content").mapInPandas(run, "path string, i bigint, v double")
+    return _binary(spark, pattern, "*.npy").mapInPandas(run, "path string, i bigint, v double")
 
 
 def fromfile(spark: SparkSession, path: str, dtype: str = "float64") -> Grid:
     """Raw elements of one type."""
-    files = spark.read.format("binaryFile").load(path)
-    size = files.agg(F.sum("length")).first()[0] // np.dtype(dtype).itemsize
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] // np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                yield from _cells(np.frombuffer(content, dtype))
+            for at, content in zip(pdf["path"], pdf["content"], strict=True):
+                with _open(at, content) as f:
+                    yield from _raw(f, np.dtype(dtype))
 
-    return from_flat(spark, files.select("content").mapInPandas(run, f"i bigint, v {_spark_type(np.dtype(dtype))}"), (size,))
+    return from_flat(spark, _binary(spark, path).mapInPandas(run, f"i bigint, v {_spark_type(np.dtype(dtype))}"), (size,))
 
 
 def tofile(g: Grid, path: str) -> None:

@@ -39,3 +39,28 @@ def test_masked_whole_numbers_and_places_outside_are_refused(spark, tmp_path):
         arrays.save(masked, f"{tmp_path}/m.npy")
     with pytest.raises(Exception, match="outside"):
         arrays.save(grid.Grid(spark.sql("SELECT id AS i0, id AS v FROM range(4)"), (3,)), f"{tmp_path}/o.npy")
+
+
+def test_no_task_reads_a_whole_file_and_fortran_order_is_kept(spark, tmp_path):
+    a = np.arange(12.0).reshape(3, 4)
+    np.save(f"{tmp_path}/f.npy", np.asfortranarray(a))
+    np.savez_compressed(f"{tmp_path}/z.npz", f=np.asfortranarray(a), scalar=np.array(3), empty=np.zeros((0, 2)), c=np.array([1 + 2j]))
+    a.astype("float32").tofile(f"{tmp_path}/r.bin")
+    z = arrays.load_npz(spark, f"{tmp_path}/z.npz")
+    assert np.array_equal(z["f"].to_numpy(), a) and z["scalar"].shape == () and z["scalar"].item() == 3
+    assert z["empty"].shape == (0, 2) and z["empty"].df.count() == 0 and tuple(z["c"].df.first()["v"]) == (1.0, 2.0)
+    assert np.array_equal(arrays.load(spark, f"{tmp_path}/f.npy").to_numpy(), a)
+    assert arrays.fromfile(spark, f"{tmp_path}/r.bin", "float32").tolist() == a.ravel().tolist()
+    many = arrays.load_many(spark, str(tmp_path))
+    assert [(r.i, r.v) for r in many.orderBy("i").collect()] == list(enumerate(a.ravel().tolist()))
+    content = arrays._binary(spark, f"{tmp_path}/f.npy")
+    assert content.first()["content"] is None  # opened by the task instead
+
+
+def test_files_of_a_store_that_is_not_mounted_are_read_by_spark(spark, tmp_path):
+    a = np.arange(6).reshape(2, 3)
+    np.save(f"{tmp_path}/a.npy", a)
+    np.savez(f"{tmp_path}/a.npz", a=a)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.single.link./in", f"file://{tmp_path}")
+    assert np.array_equal(arrays.load(spark, "viewfs://single/in/a.npy").to_numpy(), a)
+    assert np.array_equal(arrays.load_npz(spark, "viewfs://single/in/a.npz")["a"].to_numpy(), a)
